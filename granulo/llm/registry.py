@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granulo.llm import quality_rules, sharding
+from granulo.llm import arrow_files, packing, quality_rules, sentencepieces, sharding, token_counts
 from granulo.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op1_token_counts": lambda s, d: token_counts.count_tokens(docs(s, d), vocabulary("byte_bpe_50k.json")),
         "op2_sharding": lambda s, d: sharding.digest(docs(s, d)),
+        "op5_packing": lambda s, d: packing.digest(docs(s, d), vocabulary("word_bpe_49k.json")),
+        "op6_token_id_files": lambda s, d: arrow_files.digest(docs(s, d), vocabulary("byte_bpe_50k.json")),
+        "op7_sentencepiece": lambda s, d: sentencepieces.encode_and_decode(docs(s, d), vocabulary("piece_bpe_32k.model"), keep=False),
         "op9_quality_rules": lambda s, d: quality_rules.digest(docs(s, d)),
     }
 
