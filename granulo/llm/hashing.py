@@ -45,22 +45,21 @@ def _segment(data: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.n
     return mix((total[last] - total[first]) * down[first])
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` and, for each text, where its words begin (one more entry than texts).
-
-    ``fold`` lower-cases A-Z. Texts are worked on in segments of about a megabyte cut between words.
-    """
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+def spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and one past last byte of each run of ``solid`` bytes within a text."""
+    if not len(solid):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    inner = offsets[(offsets > 0) & (offsets < len(solid))]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
     begins[inner] |= solid[inner]
-    first = np.flatnonzero(begins)
-    ends = solid
+    ends = solid.copy()
     ends[:-1] &= ~solid[1:] | begins[1:]
-    last = np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def hash_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hashes of byte spans in ascending order, in segments of about a megabyte cut between spans."""
     values = _FOLDED if fold else _BYTES
     out = np.empty(len(first), np.uint64)
     at = 0
@@ -69,7 +68,22 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
         base = first[at]
         out[at:to] = _segment(data[base : last[to - 1]], first[at:to] - base, last[at:to] - base, values)
         at = to
-    return out, np.searchsorted(first, offsets)
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` and, for each text, where its words begin (one more entry than texts).
+
+    ``fold`` lower-cases A-Z.
+    """
+    first, last = spans(~_SPACE[data], offsets)
+    return hash_spans(data, first, last, fold), np.searchsorted(first, offsets)
+
+
+def one(text: str) -> int:
+    """The hash of one word."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    return int(hash_spans(data, np.array([0]), np.array([len(data)]))[0])
 
 
 _PLACES = np.random.Generator(np.random.PCG64(55)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granulo.llm import arrow_files, packing, quality_rules, sentencepieces, sharding, token_counts
+from granulo.llm import arrow_files, crf_quality, packing, quality_rules, sentencepieces, sharding, token_counts, toxicity
 from granulo.llm.common import table
 
 
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": lambda s, d: token_counts.count_tokens(docs(s, d), vocabulary("byte_bpe_50k.json")),
         "op2_sharding": lambda s, d: sharding.digest(docs(s, d)),
+        "op3_toxicity": lambda s, d: toxicity.digest(docs(s, d), table(s, d, "labels")),
+        "op4_quality_classifier": lambda s, d: crf_quality.digest(docs(s, d), table(s, d, "labels")),
         "op5_packing": lambda s, d: packing.digest(docs(s, d), vocabulary("word_bpe_49k.json")),
         "op6_token_id_files": lambda s, d: arrow_files.digest(docs(s, d), vocabulary("byte_bpe_50k.json")),
         "op7_sentencepiece": lambda s, d: sentencepieces.encode_and_decode(docs(s, d), vocabulary("piece_bpe_32k.model"), keep=False),
