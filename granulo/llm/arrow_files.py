@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granulo.llm.common import parts, shared_path, slices, stable
-from granulo.llm.pieces import Encoder, library
+from granulo.llm.pieces import encoder as shared_encoder
+from granulo.llm.pieces import library
 
 #: Ids a sequence, and sequences a batch.
 LENGTH, BATCH = 2048, 64
@@ -121,7 +122,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
         system, base = opened(folder)
         name = f"{base}/part-{task.partitionId():06d}.arrow"
         attempt = f"{base}/_attempt-{task.taskAttemptId()}.arrow"
-        encoder, writer, sinks, begun, n_docs = Encoder(tokenizer, end_id), None, [], 0, 0
+        encoder, writer, sinks, begun, n_docs = shared_encoder(tokenizer, end_id), None, [], 0, 0
         for batch in batches:
             for part in slices(batch):
                 if writer is None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from granulo.llm import hashing
 from granulo.llm.common import chunks, parts, slices
-from granulo.llm.pieces import Encoder
+from granulo.llm.pieces import encoder as shared_encoder
 
 DIMS, BITS = 4, 8
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_
     ordered = with_key(docs, id_col, text_col).repartitionByRange(parts(spark), "key", tie).sortWithinPartitions("key", tie)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = shared_encoder(tokenizer, end_id)
         layout = Layout(TaskContext.get().partitionId() << 40, size)
         for batch in batches:
             for part in slices(batch):

@@ -14,8 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Most pieces that a worker keeps, and the longest that it keeps.
-CACHE_PIECES, CACHE_BYTES = 300_000, 48
+#: Most pieces in each of the two halves of a cache, and the longest piece that is kept.
+HALF, KEPT_BYTES = 500_000, 48
 _SPACES = rb"\t\n\x0b\x0c\r\x1c-\x20"
 #: A space before a blank of any kind, or at the end.
 _BEFORE_BLANK = re.compile(rb" (?:[" + _SPACES + rb"]|$|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
@@ -28,15 +28,18 @@ def split_blank(data: bytes) -> list[bytes]:
     return data.split()
 
 
-def split_byte_level(data: bytes) -> list[bytes]:
+def split_byte_level(data: bytes) -> tuple[list[bytes], list[bytes]]:
     """For byte-level tokenizers whose words take one space before them: cut before each space that a non-blank follows.
 
-    Blanks before such a space are a word of their own with or without the cut.
+    Blanks before such a space are a word of their own with or without the cut. Returns the first piece, if any, and the
+    others without the space that each begins with; a first piece that begins with a space counts among the others.
     """
     if _BEFORE_BLANK.search(data):
-        return [x for x in _CUT.split(data) if x]
+        rest = [x for x in _CUT.split(data) if x]
+        lead = [] if rest[0][0] == 32 and len(rest[0]) > 1 and not _BEFORE_BLANK.match(rest[0]) else [rest.pop(0)]
+        return lead, [x[1:] for x in rest]
     first, *rest = data.split(b" ")
-    return ([first] if first else []) + [b" " + x for x in rest]
+    return ([first] if first else []), rest
 
 
 def split_marked(data: bytes) -> list[bytes]:
@@ -47,30 +50,50 @@ def split_marked(data: bytes) -> list[bytes]:
     return ([first] if first else []) + [b" " + x for x in rest]
 
 
+class Pieces(dict):
+    """Values by piece, made when first asked for. Two halves: when the newer is full it becomes the older, which is dropped."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: bytes):
+        value = self.older.get(piece)
+        if value is None:
+            value = self.make(piece)
+            if len(piece) > KEPT_BYTES:
+                return value
+        if len(self) >= HALF:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
+
+
 class PieceCache:
-    """Values by piece; ``make`` gives those of many new pieces at once."""
+    """As ``Pieces``, with many new pieces made at once."""
 
     def __init__(self, make):
-        self.make, self.known = make, {}
+        self.make, self.known, self.older = make, {}, {}
 
     def __call__(self, pieces: list[bytes]) -> dict[bytes, object]:
-        new = [x for x in set(pieces) if x not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {}
-            new = list(set(pieces))
-        short = [x for x in new if len(x) <= CACHE_BYTES]
-        if short:
-            self.known.update(zip(short, self.make(short)))
-        if len(short) < len(new):
-            long = [x for x in new if len(x) > CACHE_BYTES]
-            return Layered(dict(zip(long, self.make(long))), self.known)
-        return self.known
+        new = set(pieces) - self.known.keys()
+        back = {x: self.older[x] for x in new & self.older.keys()}
+        new = list(new - back.keys())
+        back.update(zip(new, self.make(new)))
+        if len(self.known) + len(back) > HALF:
+            self.older, self.known = self.known, {}
+            return Layered(back, self.older, self.known)
+        self.known.update((x, v) for x, v in back.items() if len(x) <= KEPT_BYTES)
+        return Layered(back, self.known) if any(len(x) > KEPT_BYTES for x in new) else self.known
 
 
 class Layered(dict):
-    def __init__(self, top: dict, base: dict):
+    def __init__(self, top: dict, base: dict, keep: dict | None = None):
         super().__init__(top)
         self.base = base
+        if keep is not None:
+            keep.update((x, v) for x, v in top.items() if len(x) <= KEPT_BYTES)
 
     def __missing__(self, key):
         return self.base[key]
@@ -96,10 +119,10 @@ def _splitter(path: str):
     pre = told["pre_tokenizer"] or {}
     if told["model"]["type"] == "BPE" and not told["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
         return split_byte_level
-    steps = pre.get("pretokenizers") or [{}]
-    if steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in str(steps[0].get("pattern")):
+    step = (pre.get("pretokenizers") or [{}])[0]
+    if step.get("type") == "Split" and step.get("invert") and step.get("behavior") == "Removed" and str(step.get("pattern", {}).get("Regex")).endswith(r"[^\s\p{L}\p{N}]+"):
         return split_blank
-    return lambda data: [data]
+    return None
 
 
 class Encoder:
@@ -108,43 +131,54 @@ class Encoder:
     def __init__(self, path: str, end: int | None = None):
         self.tokenizer, self.split = library(path), _splitter(path)
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
-        self.cache = PieceCache(self._make)
+        self.plain, self.spaced = Pieces(self._ids), Pieces(lambda x: self._ids(b" " + x))
 
-    def _make(self, pieces: list[bytes]) -> list[bytes]:
-        out = []
-        for i in range(0, len(pieces), 4096):
-            for e in self.tokenizer.encode_batch_fast([x.decode() for x in pieces[i : i + 4096]], add_special_tokens=False):
-                out.append(np.array(e.ids, "<u4").tobytes())
-        return out
+    def _ids(self, piece: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(piece.decode(), None, False, False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.split(t.encode()) if t else [] for t in texts]
-        known = self.cache([x for s in split for x in s])
-        get = known.__getitem__
-        return [b"".join(map(get, s)) + self.end for s in split]
+        plain, spaced, out = self.plain.__getitem__, self.spaced.__getitem__, []
+        for t in texts:
+            if not t:
+                out.append(self.end)
+            elif self.split is split_byte_level:
+                lead, rest = split_byte_level(t.encode())
+                out.append(b"".join([*map(plain, lead), *map(spaced, rest), self.end]))
+            elif self.split is split_blank:
+                out.append(b"".join([*map(plain, t.encode().split()), self.end]))
+            else:
+                out.append(self._ids(t.encode()) + self.end)
+        return out
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, end: int | None = None) -> Encoder:
+    """The encoder that all tasks of a worker share."""
+    return Encoder(path, end)
 
 
 class SpanEncoder:
     """For whole texts: how many tokens each has, and every token's first and one past its last code point in its text."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.split = library(path), _splitter(path)
-        self.cache = PieceCache(self._make)
-
-    def _make(self, pieces: list[bytes]) -> list[tuple[bytes, bytes, int, int]]:
-        out = []
-        for i in range(0, len(pieces), 4096):
-            texts = [x.decode() for x in pieces[i : i + 4096]]
-            for t, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-                spans = np.array(e.offsets, "<i4").reshape(-1, 2)
-                out.append((spans[:, 0].tobytes(), spans[:, 1].tobytes(), len(t), len(spans)))
-        return out
+        self.tokenizer, self.cuts = library(path), _splitter(path) is split_byte_level
+        self.known = Pieces(self._make)
+
+    def _pieces(self, data: bytes) -> list[bytes]:
+        if not self.cuts:
+            return [data] if data else []
+        lead, rest = split_byte_level(data) if data else ([], [])
+        return lead + [b" " + x for x in rest]
+
+    def _make(self, piece: bytes) -> tuple[bytes, bytes, int, int]:
+        text = piece.decode()
+        spans = np.array(self.tokenizer.encode(text, None, False, False).offsets, "<i4").reshape(-1, 2)
+        return spans[:, 0].tobytes(), spans[:, 1].tobytes(), len(text), len(spans)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        split = [self.split(t.encode()) for t in texts]
-        pieces = [x for s in split for x in s]
-        known = self.cache(pieces)
-        found = [known[x] for x in pieces]
+        split = [self._pieces(t.encode()) for t in texts]
+        get = self.known.__getitem__
+        found = [v for s in split for v in map(get, s)]
         begin = np.frombuffer(b"".join([f[0] for f in found]), "<i4").astype(np.int64)
         end = np.frombuffer(b"".join([f[1] for f in found]), "<i4").astype(np.int64)
         chars = np.array([f[2] for f in found], np.int64)
@@ -157,3 +191,8 @@ class SpanEncoder:
             text_base[of[heads]] = before[heads]
         shift = np.repeat(before - text_base[of], counts)
         return np.bincount(of, counts, len(texts)).astype(np.int64), begin + shift, end + shift
+
+
+@lru_cache(maxsize=4)
+def span_encoder(path: str) -> SpanEncoder:
+    return SpanEncoder(path)

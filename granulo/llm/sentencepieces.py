@@ -179,6 +179,12 @@ class Codec:
         return ids, back, same
 
 
+@lru_cache(maxsize=2)
+def shared_codec(path: str, threads: int) -> Codec:
+    """The codec that all tasks of a worker share."""
+    return Codec(path, threads)
+
+
 SCHEMA = "doc_id long, ids binary, decoded string, round_trip boolean, parity boolean"
 
 
@@ -191,7 +197,7 @@ def encode_and_decode(docs: DataFrame, model: str, threads: int = 2, id_col: str
     schema = SCHEMA if keep else "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, parity boolean"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, threads)
+        codec = shared_codec(model, threads)
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()

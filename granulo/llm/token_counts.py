@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granulo.llm.common import slices
-from granulo.llm.pieces import SpanEncoder
+from granulo.llm.pieces import span_encoder
 
 SCHEMA = "doc_id long, section int, start_char long, end_char long, tokens_first long, tokens_largest long, tokens_shared double, doc_tokens long"
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
@@ -58,7 +58,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, sections: Callable[[str], list
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SpanEncoder(tokenizer)
+        encoder = span_encoder(tokenizer)
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False) if not part.column("doc_id").null_count else np.array(part.column("doc_id").to_pylist(), object)
