@@ -62,33 +62,33 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def large(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.cast(pa.large_string())
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 of a string column and where each row begins there, without copying. Null rows have no bytes."""
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
+    kind = np.int32 if pa.types.is_string(column.type) else np.int64
+    _, bounds, data = column.buffers()
+    bounds = np.frombuffer(bounds, kind)[column.offset : column.offset + len(column) + 1] if bounds else np.zeros(1, kind)
+    return np.frombuffer(data or b"", np.uint8), bounds
+
+
+def _cuts(bounds: np.ndarray, limit: int):
+    at, rows = 0, len(bounds) - 1
+    while at < rows:
+        end = min(max(at + 1, int(np.searchsorted(bounds, int(bounds[at]) + limit, "right")) - 1), rows)
+        yield at, end
+        at = end
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
     """``(first row, bytes, offsets)`` of consecutive rows: their UTF-8 in one array and where each row begins, nulls being empty."""
-    column = large(column).fill_null("")
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
-        end = min(end, len(column))
-        yield at, data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at]
-        at = end
+    data, bounds = _buffers(column)
+    for at, end in _cuts(bounds, limit):
+        yield at, data[bounds[at] : bounds[end]], (bounds[at : end + 1] - bounds[at]).astype(np.int64)
 
 
 def slices(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTES):
     """The batch in consecutive slices of at most ``limit`` bytes in column ``name``, one row at least."""
-    column = large(batch.column(name)).fill_null("")
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    at = 0
-    while at < batch.num_rows:
-        end = min(max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1), batch.num_rows)
+    _, bounds = _buffers(batch.column(name))
+    for at, end in _cuts(bounds, limit):
         yield batch.slice(at, end - at)
-        at = end
-
-

@@ -20,6 +20,8 @@ from granulo.llm.common import chunks, parts, slices
 from granulo.llm.pieces import encoder as shared_encoder
 
 DIMS, BITS = 4, 8
+#: Documents from whose places the ranges are set.
+SAMPLE = 20_000
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -65,17 +67,32 @@ def project(data: np.ndarray, offsets: np.ndarray, dims: int = DIMS, bits: int =
     return out
 
 
-def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, key``. Equal texts have equal keys."""
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bounds: np.ndarray | None = None) -> DataFrame:
+    """``doc_id, text, place, part``: the Hilbert key over a hash of id and text that breaks ties, and the range it falls in."""
+    edges = np.empty(0, np.int64) if bounds is None else bounds
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [hilbert_key(project(data, offsets), BITS) for _, data, offsets in chunks(batch.column("text"))]
-            key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(key)], names=["doc_id", "text", "key"])
+            for at, data, offsets in chunks(batch.column("text")):
+                rows = batch.slice(at, len(offsets) - 1)
+                place = hilbert_key(project(data, offsets), BITS) << 31 | rows.column("tie").to_numpy()
+                part = np.searchsorted(edges, place, "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), pa.array(place), pa.array(part)], names=["doc_id", "text", "place", "part"])
 
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return thin.mapInArrow(work, "doc_id long, text string, key long")
+    text = F.col(text_col).cast("string")
+    tie = F.xxhash64(F.col(id_col).cast("long"), F.crc32(text)).bitwiseAND(0x7FFFFFFF)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), tie.alias("tie")).mapInArrow(work, "doc_id long, text string, place long, part int")
+
+
+def curve_ranges(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Bounds that cut the curve into ``n`` ranges of about as many documents, from about SAMPLE of them chosen by hash.
+
+    They decide balance and where ranges end, never which documents are packed.
+    """
+    total = docs.count()
+    few = docs if total <= SAMPLE else docs.where(F.pmod(F.xxhash64(F.lit(17), F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
+    places = np.sort(placed(few, id_col, text_col).select("place").toArrow()["place"].to_numpy())
+    return np.unique(places[(np.arange(1, n) * len(places)) // n]) if len(places) else np.empty(0, np.int64)
 
 
 class Layout:
@@ -136,13 +153,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_
     """The pieces (PIECE_SCHEMA) of all documents; ``ids`` are little-endian unsigned 32-bit integers.
 
     A sequence holds ``size`` ids, but for a few in each range, whose lengths are smaller powers of two: none has padding.
-    Documents meet their curve neighbours: one shuffle by range of (key, hash of the id and text, row number), so that a third of all rows with
-    one text still spread over ranges; equal ones stay neighbours. A null text is empty and holds the end id alone, as an
+    Documents meet their curve neighbours: one shuffle by range of (Hilbert key, hash of id and text), so that a third of all rows with
+    one text still spread over ranges. A null text is empty and holds the end id alone, as an
     empty one does. Repeated rows are packed again each, null ids are kept, other columns are not read. No rows give none.
     """
     spark = docs.sparkSession
-    tie = F.xxhash64("doc_id", F.crc32("text"))
-    ordered = with_key(docs, id_col, text_col).repartitionByRange(parts(spark), "key", tie).sortWithinPartitions("key", tie)
+    n = parts(spark)
+    rows = placed(docs, id_col, text_col, curve_ranges(docs, n, id_col, text_col))
+    ordered = rows.repartitionById(n, "part").sortWithinPartitions("place", "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer, end_id)

@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Most pieces in each of the two halves of a cache, and the longest piece that is kept.
-HALF, KEPT_BYTES = 500_000, 48
+HALF, KEPT_BYTES = 300_000, 24
 _SPACES = rb"\t\n\x0b\x0c\r\x1c-\x20"
 #: A space before a blank of any kind, or at the end.
 _BEFORE_BLANK = re.compile(rb" (?:[" + _SPACES + rb"]|$|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
@@ -134,7 +135,7 @@ class Encoder:
         self.plain, self.spaced = Pieces(self._ids), Pieces(lambda x: self._ids(b" " + x))
 
     def _ids(self, piece: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(piece.decode(), None, False, False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(piece.decode(), None, False, False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         plain, spaced, out = self.plain.__getitem__, self.spaced.__getitem__, []

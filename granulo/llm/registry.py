@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granulo.llm import arrow_files, crf_quality, packing, quality_rules, sentencepieces, sharding, token_counts, toxicity
+from granulo.llm import arrow_files, crf_quality, fingerprints, near_duplicates, packing, quality_rules, sentencepieces, sharding, token_counts, toxicity
 from granulo.llm.common import table
 
 
@@ -26,7 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": lambda s, d: packing.digest(docs(s, d), vocabulary("word_bpe_49k.json")),
         "op6_token_id_files": lambda s, d: arrow_files.digest(docs(s, d), vocabulary("byte_bpe_50k.json")),
         "op7_sentencepiece": lambda s, d: sentencepieces.encode_and_decode(docs(s, d), vocabulary("piece_bpe_32k.model"), keep=False),
+        "op8_ngram_jaccard_join": lambda s, d: near_duplicates.near_duplicates(docs(s, d)),
         "op9_quality_rules": lambda s, d: quality_rules.digest(docs(s, d)),
+        "op10_fingerprints": lambda s, d: fingerprints.against_neighbours(docs(s, d)),
     }
 
 
