@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text that is worked on at a time inside a Python worker; one longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+#: Text that is worked on at a time inside a Python worker, as arrays of many bytes a byte or as strings; one longer document is a chunk of its own.
+#: Some whole-array steps take about 100 bytes a byte of text.
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +88,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
         yield at, data[bounds[at] : bounds[end]], (bounds[at : end + 1] - bounds[at]).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTES):
+def slices(batch: pa.RecordBatch, name: str = "text", limit: int = 2 * CHUNK_BYTES):
     """The batch in consecutive slices of at most ``limit`` bytes in column ``name``, one row at least."""
     _, bounds = _buffers(batch.column(name))
     for at, end in _cuts(bounds, limit):

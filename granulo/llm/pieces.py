@@ -14,8 +14,9 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import regex
 
-#: Most pieces in each of the two halves of a cache, and the longest piece that is kept.
+#: Most pieces in each of the two halves of a cache, and the longest piece that is kept; one with a newline hardly comes again.
 HALF, KEPT_BYTES = 300_000, 24
 _SPACES = rb"\t\n\x0b\x0c\r\x1c-\x20"
 #: A space before a blank of any kind, or at the end.
@@ -62,7 +63,7 @@ class Pieces(dict):
         value = self.older.get(piece)
         if value is None:
             value = self.make(piece)
-            if len(piece) > KEPT_BYTES:
+            if len(piece) > KEPT_BYTES or b"\n" in piece:
                 return value
         if len(self) >= HALF:
             self.older = dict(self)
@@ -126,16 +127,50 @@ def _splitter(path: str):
     return None
 
 
+# Fixed value: how byte-level tokenizers cut a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters below this one are the same to every version of the Unicode tables, and composed already.
+LATIN = "\u0250"
+
+
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, an end id after each text if ``end`` is given."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers, an end id after each text if ``end`` is given.
+
+    A new piece of Latin letters and marks is cut into words here and its words go to the library's merge model; any other
+    goes through the whole library.
+    """
 
     def __init__(self, path: str, end: int | None = None):
         self.tokenizer, self.split = library(path), _splitter(path)
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
         self.plain, self.spaced = Pieces(self._ids), Pieces(lambda x: self._ids(b" " + x))
+        self.model, self.shown = self.tokenizer.model, byte_characters()
+        self.lower = self.split is split_blank
+        pattern = WORDS
+        if self.lower:
+            with open(path, encoding="utf-8") as f:
+                told = json.load(f)
+            pattern = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            steps = [(n["type"], n.get("content")) for n in told["normalizer"]["normalizers"]]
+            if steps != [("NFC", None), ("Replace", " "), ("Lowercase", None)]:
+                self.shown = None
+        self.words = regex.compile(pattern).findall
 
     def _ids(self, piece: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(piece.decode(), None, False, False).ids).tobytes()
+        text = piece.decode()
+        if self.split is None or self.shown is None or not text or max(text) >= LATIN:
+            return array("I", self.tokenizer.encode(text, None, False, False).ids).tobytes()
+        words = self.words(text.lower() if self.lower else text)
+        if len(words) == 1:
+            return array("I", [t.id for t in self.model.tokenize(words[0].encode().decode("latin-1").translate(self.shown))]).tobytes()
+        return b"".join([self.spaced[w[1:].encode()] if w[0] == " " and len(w) > 1 else self.plain[w.encode()] for w in words])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         plain, spaced, out = self.plain.__getitem__, self.spaced.__getitem__, []
