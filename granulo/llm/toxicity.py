@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from granulo.llm import bytestats as B
 from granulo.llm import hashing
 from granulo.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from granulo.llm.common import chunks
+from granulo.llm.common import chunks, stable
 from granulo.llm.labels import remainder, training_rows
 
 #: Most labelled rows that are learned from, and most entries that the learned lexicon has.
 MAX_TRAIN, MAX_LEXICON = 20_000, 4096
 #: Bytes of a word's beginnings, and words between an insult and a word of address that count as close.
-STEMS, CLOSE = (4, 5, 6), 5
+STEMS, CLOSE = (4, 5, 6, 7, 8), 5
 GENERAL = "idiot idiots idiota imbécile imbecile stupid stupido estúpido stupide moron scum loser pathetic worthless trash disgusting clown dumb fool jerk bastard crap damn ugly vermin trottel dummkopf abschaum connard crétin basura tonto".split()
 ADDRESS = "you your yours yourself u ur tu te toi vous votre du dich dir ihr euch dein sie ihnen usted ustedes vos vosotros".split()
 _GENERAL = np.array(sorted(map(hashing.one, GENERAL)), np.uint64)
@@ -137,6 +137,7 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     """
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
     counts = rows.mapInArrow(_count_terms, "term long, a0 long, a1 long, b0 long, b1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")])
+    counts = stable(counts.where("b0 + b1 >= 2"))
     found = []
     for halves in ((1,), (0,), (0, 1)):
         clean, toxic = (sum(F.col(f"{c}{i}") for i in halves) for c in "ab")
