@@ -7,8 +7,10 @@ are expanded to members and verified on whole sets.
 
 Only links between different texts, and only as many as components need, are verified. A shingle that up to three groups
 share gives all their pairs. In a longer list, sorted by size, each group is paired with the two before it and with the
-first one; its members are then kept aside until components are known, and every pair that is still in different
-components is verified. So nothing is lost, and a large group of near copies costs a few pairs a member.
+first one, and its members are kept aside. Of these pairs each set's most promising is verified first; then those between
+sets that are still in different components. Then the members kept aside whose lists still span components are compared
+in blocks: those outside a cluster's largest component against all of it. So nothing is lost, a large group of near copies
+costs a few pairs a member, and only what stays apart in it is compared with all of it, without making rows for pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granulo.llm.common import chunks, shared_path, slices, stable
@@ -27,13 +29,13 @@ from granulo.llm.hashing import shingle_sets
 
 WORDS, PERCENT = 5, 80
 #: Size of the frequency sketch and of the filter of wanted sets: fixed, whatever the input.
-SKETCH_BITS, WANTED_BITS = 20, 20
-#: Shingles whose local counts are taken together.
-BUFFER = 2_000_000
-#: Partners of one set that are verified in one run of rows.
-PARTNERS = 256
+SKETCH_BITS, WANTED_BITS = 22, 20
+#: Shingles whose local counts are taken together, and the least local count that tells.
+BUFFER, OFTEN = 3_000_000, 2
+#: Partners of one set that are verified in one run of rows, and sets that others are compared with at a time.
+PARTNERS, BLOCK = 256, 256
 ENTRY = "doc_id long, n int, node binary, gid long, prefix array<long>"
-FOUND = "a long, b long, token long, gid long, np long"
+FOUND = "a long, b long, token long, gid long"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,22 +52,22 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int):
 
 
 def frequency_levels(texts: DataFrame, words: int) -> np.ndarray:
-    """For each bucket of shingle hashes, how frequent its shingles look: 0, or the bit length of a count.
+    """For each bucket of shingle hashes, how frequent its most frequent shingle looks: 0, or the bit length of a count.
 
-    Shingles that come twice or more in a task's buffer are counted. Any levels give right joins; these keep what many
+    A shingle's count is the greatest that a task's buffer has of it. Any levels give right joins; these keep what many
     documents share out of prefixes. The driver receives at most 2**SKETCH_BITS small numbers.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        most = np.zeros(1 << SKETCH_BITS, np.int32)
         buffer, n = [], 0
 
         def flush() -> None:
             h = np.sort(np.concatenate(buffer))
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             count = np.diff(np.append(first, len(h)))
-            often = count > 1
-            np.add.at(total, (h[first[often]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), count[often])
+            often = count >= OFTEN
+            np.maximum.at(most, (h[first[often]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), count[often].astype(np.int32))
 
         for _, _, sets in _sets(batches, words):
             buffer += sets
@@ -75,10 +77,10 @@ def frequency_levels(texts: DataFrame, words: int) -> np.ndarray:
                 buffer, n = [], 0
         if n:
             flush()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "c"])
+        some = np.flatnonzero(most)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(most[some])], names=["bucket", "c"])
 
-    got = texts.select("text").mapInArrow(work, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    got = texts.select("text").mapInArrow(work, "bucket int, c int").groupBy("bucket").agg(F.max("c").alias("c")).toArrow()
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     levels[got["bucket"].to_numpy()] = np.minimum(np.ceil(np.log2(got["c"].to_numpy() + 1)), 63).astype(np.uint8)
     return levels
@@ -123,7 +125,7 @@ def entries(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _allowed(n1, p1, n2, p2, percent: int):
-    """Whether sizes n1 <= n2 and places of a first common shingle allow the threshold. For arrays and for columns."""
+    """Whether sizes n1 <= n2 and places of a first common shingle allow the threshold."""
     need = percent * (n1 + n2)
     return (100 * n1 >= percent * n2) & ((100 + percent) * (n1 - p1) >= need) & ((100 + percent) * (n2 - p2) >= need)
 
@@ -165,9 +167,9 @@ def _candidates(percent: int):
             differ = a != b
             a, b = a[differ], b[differ]
             none = lambda k: pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a)), none(len(a))], names=["a", "b", "token", "gid", "np"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a))], names=["a", "b", "token", "gid"])
             if len(hot):
-                yield pa.RecordBatch.from_arrays([none(len(hot)), none(len(hot)), pa.array(token[hot]), pa.array(gid[hot]), pa.array(np_[hot])], names=["a", "b", "token", "gid", "np"])
+                yield pa.RecordBatch.from_arrays([none(len(hot)), none(len(hot)), pa.array(token[hot]), pa.array(gid[hot])], names=["a", "b", "token", "gid"])
             head, count = (head_gid[-1], head_np[-1]), int(rank[-1]) + 1
             keep = max(int(start[-1]), len(token) - 3)
             token, gid, np_ = token[keep:], gid[keep:], np_[keep:]
@@ -199,7 +201,7 @@ def sets_of(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                     if bits[int.from_bytes(d[:3], "big") >> (24 - WANTED_BITS)] and d not in seen:
                         seen.add(d)
                         pick.append(at + i), node.append(d)
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), batch.column("text").take(pa.array(pick, pa.int64()))], names=["node", "text"])
 
@@ -239,8 +241,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return dealt.mapInArrow(work, "u binary, v binary")
 
 
-def links(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Verified links ``u, v`` between nodes that join every component, or None where there is no candidate at all."""
+def linked(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """``node, root`` of nodes that verified links join, or None where there is no candidate at all."""
     groups = known.where("n > 0").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np"), "gid")
     found = written(postings.repartition("token").sortWithinPartitions("token", "np", "gid").mapInArrow(_candidates(percent), FOUND), "candidates")
@@ -248,36 +250,105 @@ def links(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataFr
     members = stable(known.where("n > 0").select("gid", "node", "n").distinct())
     by_gid = Window.partitionBy("gid")
     crowd = members.withColumn("k", F.count("*").over(by_gid)).where("k > 1")
-    chain = crowd.select("node", F.lag("node").over(by_gid.orderBy("node")).alias("before")).where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("node").alias("b"))
-    pairs = found.where("token IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "a").toDF("a", "b", "first").groupBy("a", "b").agg(F.min("first").alias("first"))
-    pairs = pairs.select(F.col("first").alias("a"), F.when(F.col("first") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    chain = crowd.select("node", F.lag("node").over(by_gid.orderBy("node")).alias("before")).where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("node").alias("b"), F.lit(1 << 40).alias("shared"))
+    pairs = found.where("token IS NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"))
     one = members.select(F.col("gid").alias("a"), F.col("node").alias("na"))
     two = members.select(F.col("gid").alias("b"), F.col("node").alias("nb"))
-    pairs = stable(pairs.join(one, "a").join(two, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(chain).distinct())
+    pairs = pairs.join(one, "a").join(two, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "shared")
+    pairs = stable(pairs.unionByName(chain).groupBy("a", "b").agg(F.max("shared").alias("shared")))
     if pairs.isEmpty():
         return None
-    hot = found.where("token IS NOT NULL").select("token", "gid", "np").join(members.select("gid", "node"), "gid").select("token", "node", "np")
-    crowded = crowd.where("k > 2").select(F.col("gid").alias("token"), "node", F.shiftleft(F.col("n").cast("long"), 32).alias("np"))
-    hot = hot.unionByName(crowded)
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
-    texts = written(sets_of(rows, nodes, words), "candidate-texts")
-    first = stable(verified(pairs, texts, words, percent))
-
-    rest = stable(_still_apart(hot, components(first), percent).join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti"))
+    # First each set's most promising partner; then what is still apart; then what no pair stands for yet.
+    ends = pairs.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("node"))
+    best = ends.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+    texts = written(sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), "candidate-texts")
+    best = stable(best)
+    roots = components(verified(best, texts, words, percent))
+    apart = stable(_across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots))
+    if not apart.isEmpty():
+        roots = _joined(roots, verified(apart, texts, words, percent))
+
+    hot = found.where("token IS NOT NULL").select("token", "gid").join(members.select("gid", "node"), "gid").select("token", "node")
+    crowded = crowd.where("k > 2").select(F.col("gid").alias("token"), "node")
+    rest = _still_apart(hot.unionByName(crowded), roots)
     if rest.isEmpty():
-        return first
-    return stable(first.unionByName(verified(rest, texts, words, percent)))
+        return roots
+    texts = sets_of(rows, rest.select("node"), words)
+    return _joined(roots, verified_blocks(rest, texts, words, percent))
+
+
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links; the same ones where there are none."""
+    more = stable(more)
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    root = {c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"}
+    rows = pairs.join(root["a"], "a", "left").join(root["b"], "b", "left")
+    return rows.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _still_apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, root, cluster`` of nodes that share a long posting list with a node of another component.
+
+    Lists within one component go first. A cluster holds all nodes that the other lists join.
+    """
+    rows = hot.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+    split = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub")).where("low <> high").select("token", "hub")
+    rows = stable(rows.join(split, "token").select("node", "root", "hub").distinct())
+    clusters = components(rows.select(F.col("node").alias("u"), F.col("hub").alias("v"))).select("node", F.col("root").alias("cluster"))
+    return stable(rows.select("node", "root").distinct().join(clusters, "node"))
+
+
+def verified_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``u, v`` between nodes of one cluster and different components.
+
+    All but the nodes of a cluster's largest component are asked about, BLOCK of them or so at a time: an index of their
+    shingles is held while all nodes of the cluster pass by. One row is made for each node and block, and one for each link.
+    """
+    sizes = rest.groupBy("cluster", "root").agg(F.count("*").alias("k"))
+    plan = sizes.groupBy("cluster").agg(F.max(F.struct("k", "root"))["root"].alias("main"), (F.sum("k") - F.max("k")).alias("asked"))
+    rows = rest.join(plan, "cluster").withColumn("blocks", F.ceil(F.col("asked") / BLOCK).cast("int"))
+    asked = rows.where("root <> main").select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("late"), "node", "root")
+    passing = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("late"), "node", "root")
+    dealt = asked.unionByName(passing).join(texts, "node").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "late")
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []  # the open block's sets: node, root, shingles
+        index = None
+        for batch in batches:
+            for part in slices(batch):
+                cluster, block, late, node, root = (part.column(c).to_pylist() for c in ("cluster", "block", "late", "node", "root"))
+                sets = [s for _, data, offsets in chunks(part.column("text")) for s in shingle_sets(data, offsets, words)]
+                u, v = [], []
+                for i, s in enumerate(sets):
+                    if (cluster[i], block[i]) != key:
+                        key, held, index = (cluster[i], block[i]), [], None
+                    if not late[i]:
+                        held.append((node[i], root[i], s))
+                        continue
+                    if not held:
+                        continue
+                    if index is None:
+                        flat = np.concatenate([h[2] for h in held])
+                        order = np.argsort(flat, kind="stable")
+                        size = np.array([len(h[2]) for h in held])
+                        index = flat[order], np.repeat(np.arange(len(held)), size)[order], size
+                    first, last = np.searchsorted(index[0], s, "left"), np.searchsorted(index[0], s, "right")
+                    width = last - first
+                    at = np.repeat(first - np.cumsum(width) + width, width) + np.arange(width.sum())
+                    both = np.bincount(index[1][at], minlength=len(held))
+                    for j in np.flatnonzero(100 * both >= percent * (index[2] + len(s) - both)).tolist():
+                        if held[j][1] != root[i]:
+                            u.append(held[j][0]), v.append(node[i])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-def _still_apart(hot: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one token's nodes in different components that sizes and places allow. Tokens within one component go first."""
-    rows = hot.join(roots, "node", "left").select("token", "node", "np", F.coalesce("root", "node").alias("root"))
-    split = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    rows = stable(rows.join(split, "token").select("token", "node", "root", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p")))
-    one, two = (rows.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "p")]) for k in (1, 2))
-    c: Column = (F.col("root1") != F.col("root2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2"))))
-    return one.join(two, "token").where(c & _allowed(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    return dealt.mapInArrow(work, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,10 +362,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = written(entries(rows, words, percent), "shingle-prefixes")
-    joined = links(rows, known, words, percent)
+    roots = linked(rows, known, words, percent)
     per_node = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    if joined is not None:
-        per_node = per_node.join(components(joined), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    if roots is not None:
+        per_node = per_node.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
         least = per_node.groupBy("root").agg(F.min("least").alias("component_id"))
         ids = per_node.join(least, "root").select("node", "component_id")
     else:
