@@ -8,8 +8,8 @@ are expanded to members and verified on whole sets.
 Only links between different texts, and only as many as components need, are verified. A shingle that up to three groups
 share gives all their pairs. In a longer list, sorted by size, each group is paired with the two before it and with the
 first one, and its members are kept aside. Of these pairs each set's most promising is verified first; then those between
-sets that are still in different components. Then the members kept aside whose lists still span components are compared
-in blocks: those outside a cluster's largest component against all of it. So nothing is lost, a large group of near copies
+sets that are still in different components. Then come the lists that still span components: a short list gives the pairs between them that
+sizes and places allow, in a long one the sets outside its largest component are compared with all of it in blocks. So nothing is lost, a large group of near copies
 costs a few pairs a member, and only what stays apart in it is compared with all of it, without making rows for pairs.
 """
 
@@ -32,10 +32,11 @@ WORDS, PERCENT = 5, 80
 SKETCH_BITS, WANTED_BITS = 22, 20
 #: Shingles whose local counts are taken together, and the least local count that tells.
 BUFFER, OFTEN = 3_000_000, 2
-#: Partners of one set that are verified in one run of rows, and sets that others are compared with at a time.
-PARTNERS, BLOCK = 256, 256
+#: Partners of one set that are verified in one run of rows; sets that others are compared with at a time; and how many
+#: pairs a shingle's list may stand for before its sets are compared in blocks.
+PARTNERS, BLOCK, LISTED = 256, 256, 20_000
 ENTRY = "doc_id long, n int, node binary, gid long, prefix array<long>"
-FOUND = "a long, b long, token long, gid long"
+FOUND = "a long, b long, token long, gid long, np long"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -125,7 +126,7 @@ def entries(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _allowed(n1, p1, n2, p2, percent: int):
-    """Whether sizes n1 <= n2 and places of a first common shingle allow the threshold."""
+    """Whether sizes n1 <= n2 and places of a first common shingle allow the threshold. For arrays and for columns."""
     need = percent * (n1 + n2)
     return (100 * n1 >= percent * n2) & ((100 + percent) * (n1 - p1) >= need) & ((100 + percent) * (n2 - p2) >= need)
 
@@ -167,9 +168,9 @@ def _candidates(percent: int):
             differ = a != b
             a, b = a[differ], b[differ]
             none = lambda k: pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a))], names=["a", "b", "token", "gid"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a)), none(len(a))], names=["a", "b", "token", "gid", "np"])
             if len(hot):
-                yield pa.RecordBatch.from_arrays([none(len(hot)), none(len(hot)), pa.array(token[hot]), pa.array(gid[hot])], names=["a", "b", "token", "gid"])
+                yield pa.RecordBatch.from_arrays([none(len(hot)), none(len(hot)), pa.array(token[hot]), pa.array(gid[hot]), pa.array(np_[hot])], names=["a", "b", "token", "gid", "np"])
             head, count = (head_gid[-1], head_np[-1]), int(rank[-1]) + 1
             keep = max(int(start[-1]), len(token) - 3)
             token, gid, np_ = token[keep:], gid[keep:], np_[keep:]
@@ -269,13 +270,16 @@ def linked(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataF
     if not apart.isEmpty():
         roots = _joined(roots, verified(apart, texts, words, percent))
 
-    hot = found.where("token IS NOT NULL").select("token", "gid").join(members.select("gid", "node"), "gid").select("token", "node")
-    crowded = crowd.where("k > 2").select(F.col("gid").alias("token"), "node")
-    rest = _still_apart(hot.unionByName(crowded), roots)
+    hot = found.where("token IS NOT NULL").select("token", "gid", "np").join(members.select("gid", "node"), "gid").select("token", "node", "np")
+    crowded = crowd.where("k > 2").select(F.col("gid").alias("token"), "node", F.shiftleft(F.col("n").cast("long"), 32).alias("np"))
+    rest = _still_apart(hot.unionByName(crowded), roots, percent)
     if rest.isEmpty():
         return roots
-    texts = sets_of(rows, rest.select("node"), words)
-    return _joined(roots, verified_blocks(rest, texts, words, percent))
+    listed = stable(_listed(rest.where(F.col("cross") <= LISTED), percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    blocks = rest.where(F.col("cross") > LISTED)
+    texts = written(sets_of(rows, listed.select(F.explode(F.array("a", "b")).alias("node")).union(blocks.select("node")).distinct(), words), "candidate-texts")
+    more = verified(listed, texts, words, percent).unionByName(verified_blocks(blocks, texts, words, percent).distinct())
+    return _joined(roots, more)
 
 
 def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
@@ -293,42 +297,56 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _still_apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node, root, cluster`` of nodes that share a long posting list with a node of another component.
+def _still_apart(hot: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``token, node, root, n, p, main, asked, cross`` of long posting lists that span components.
 
-    Lists within one component go first. A cluster holds all nodes that the other lists join.
+    A posting goes if no size and place in its list allows it a partner, then a list within one component. ``main`` is a
+    list's largest component, ``asked`` counts the others' nodes and ``cross`` bounds the pairs that they stand for.
     """
-    rows = hot.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    split = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub")).where("low <> high").select("token", "hub")
-    rows = stable(rows.join(split, "token").select("node", "root", "hub").distinct())
-    clusters = components(rows.select(F.col("node").alias("u"), F.col("hub").alias("v"))).select("node", F.col("root").alias("cluster"))
-    return stable(rows.select("node", "root").distinct().join(clusters, "node"))
+    rows = hot.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p"))
+
+    def spanning(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).where("low <> high")
+        return rows.join(lists.select("token", "least"), "token")
+
+    rows = spanning(rows)
+    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    rows = stable(spanning(rows.where((100 + percent) * (F.col("n") - F.col("p")) >= percent * (other + F.col("n"))).drop("least")).drop("least"))
+    sizes = rows.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"), (F.sum("k") - F.max("k")).alias("asked"), F.sum("k").alias("all"))
+    return stable(rows.join(sizes, "token").withColumn("cross", F.col("asked") * F.col("all")).drop("all"))
+
+
+def _listed(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of one list in different components that sizes and places allow."""
+    one, two = (rest.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "p")]) for k in (1, 2))
+    order = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+    allowed = _allowed(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent)
+    pairs = one.join(two, "token").where((F.col("root1") != F.col("root2")) & order & allowed)
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def verified_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``u, v`` between nodes of one cluster and different components.
+    """Links ``u, v`` between nodes of one list and different components.
 
-    All but the nodes of a cluster's largest component are asked about, BLOCK of them or so at a time: an index of their
-    shingles is held while all nodes of the cluster pass by. One row is made for each node and block, and one for each link.
+    All but the nodes of a list's largest component are asked about, BLOCK of them or so at a time: an index of their
+    shingles is held while all nodes of the list pass by. One row is made for each node and block, and one for each link.
     """
-    sizes = rest.groupBy("cluster", "root").agg(F.count("*").alias("k"))
-    plan = sizes.groupBy("cluster").agg(F.max(F.struct("k", "root"))["root"].alias("main"), (F.sum("k") - F.max("k")).alias("asked"))
-    rows = rest.join(plan, "cluster").withColumn("blocks", F.ceil(F.col("asked") / BLOCK).cast("int"))
-    asked = rows.where("root <> main").select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("late"), "node", "root")
-    passing = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("late"), "node", "root")
-    dealt = asked.unionByName(passing).join(texts, "node").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "late")
+    rows = rest.withColumn("blocks", F.ceil(F.col("asked") / BLOCK).cast("int"))
+    asked = rows.where("root <> main").select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("late"), "node", "root")
+    passing = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("late"), "node", "root")
+    dealt = asked.unionByName(passing).join(texts, "node").repartition("token", "block").sortWithinPartitions("token", "block", "late")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []  # the open block's sets: node, root, shingles
         index = None
         for batch in batches:
             for part in slices(batch):
-                cluster, block, late, node, root = (part.column(c).to_pylist() for c in ("cluster", "block", "late", "node", "root"))
+                token, block, late, node, root = (part.column(c).to_pylist() for c in ("token", "block", "late", "node", "root"))
                 sets = [s for _, data, offsets in chunks(part.column("text")) for s in shingle_sets(data, offsets, words)]
                 u, v = [], []
                 for i, s in enumerate(sets):
-                    if (cluster[i], block[i]) != key:
-                        key, held, index = (cluster[i], block[i]), [], None
+                    if (token[i], block[i]) != key:
+                        key, held, index = (token[i], block[i]), [], None
                     if not late[i]:
                         held.append((node[i], root[i], s))
                         continue
