@@ -55,9 +55,9 @@ def split_marked(data: bytes) -> list[bytes]:
 class Pieces(dict):
     """Values by piece, made when first asked for. Two halves: when the newer is full it becomes the older, which is dropped."""
 
-    def __init__(self, make):
+    def __init__(self, make, half: int | None = None):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.half, self.older = make, half or HALF, {}
 
     def __missing__(self, piece: bytes):
         value = self.older.get(piece)
@@ -65,7 +65,7 @@ class Pieces(dict):
             value = self.make(piece)
             if len(piece) > KEPT_BYTES or b"\n" in piece:
                 return value
-        if len(self) >= HALF:
+        if len(self) >= self.half:
             self.older = dict(self)
             self.clear()
         self[piece] = value
@@ -147,11 +147,12 @@ class Encoder:
     goes through the whole library.
     """
 
-    def __init__(self, path: str, end: int | None = None):
+    def __init__(self, path: str, end: int | None = None, half: int = HALF):
         self.tokenizer, self.split = library(path), _splitter(path)
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
-        self.plain, self.spaced = Pieces(self._ids), Pieces(lambda x: self._ids(b" " + x))
+        self.plain, self.spaced = Pieces(self._ids, half), Pieces(self._spaced, half)
         self.model, self.shown = self.tokenizer.model, byte_characters()
+        self.space = chr(self.shown[32])
         self.lower = self.split is split_blank
         pattern = WORDS
         if self.lower:
@@ -163,13 +164,26 @@ class Encoder:
                 self.shown = None
         self.words = regex.compile(pattern).findall
 
+    def _word(self, start: str, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(start + shown)]).tobytes()
+
+    def _spaced(self, piece: bytes) -> bytes:
+        """Ids of a space and a piece: mostly one word, or a word with a mark behind."""
+        if piece.isalpha():
+            return self._word(self.space, piece.decode())
+        if piece[-1:] in (b".", b",") and piece[:-1].isalpha():
+            return self.spaced[piece[:-1]] + self.plain[piece[-1:]]
+        return self._ids(b" " + piece)
+
     def _ids(self, piece: bytes) -> bytes:
         text = piece.decode()
         if self.split is None or self.shown is None or not text or max(text) >= LATIN:
             return array("I", self.tokenizer.encode(text, None, False, False).ids).tobytes()
         words = self.words(text.lower() if self.lower else text)
         if len(words) == 1:
-            return array("I", [t.id for t in self.model.tokenize(words[0].encode().decode("latin-1").translate(self.shown))]).tobytes()
+            word = words[0]
+            return self._word("", word) if word.isalpha() else array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]).tobytes()
         return b"".join([self.spaced[w[1:].encode()] if w[0] == " " and len(w) > 1 else self.plain[w.encode()] for w in words])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -188,9 +202,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, end: int | None = None) -> Encoder:
+def encoder(path: str, end: int | None = None, half: int = HALF) -> Encoder:
     """The encoder that all tasks of a worker share."""
-    return Encoder(path, end)
+    return Encoder(path, end, half)
 
 
 class SpanEncoder:

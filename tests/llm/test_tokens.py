@@ -26,11 +26,11 @@ ALPHABET = ["a", "b", "é", "É", "ñ", "日", "😀", " ", "  ", "\n", "\t", "'
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_pieces_give_the_ids_of_whole_texts(vocabulary, name, monkeypatch):
-    monkeypatch.setattr(pieces, "HALF", 20)  # the cache turns over all the time
+def test_pieces_give_the_ids_of_whole_texts(vocabulary, name):
+    half = 20  # the cache turns over all the time
     rng = random.Random(5)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
-    e = pieces.Encoder(vocabulary(name), 2)
+    e = pieces.Encoder(vocabulary(name), 2, half)
     assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [r.ids + [2] for r in reference(vocabulary(name), texts)]
 
 
