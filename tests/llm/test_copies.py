@@ -82,6 +82,14 @@ def test_hot_groups(spark, seed, drift):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+@pytest.mark.parametrize("listed, block", [(0, 4), (10**9, 256)])
+def test_lists_and_blocks_agree(spark, monkeypatch, listed, block):
+    monkeypatch.setattr(near_duplicates, "LISTED", listed)
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rows = crowd(50, 5, True) + [(1000 + i, t) for i, t in crowd(50, 6, False)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_small_vocabulary(spark):
     """Texts over few words share frequent shingles everywhere."""
     rng = random.Random(7)
