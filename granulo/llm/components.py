@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulo.llm.common import stable
+from granulo.llm.common import release, stable
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,9 +25,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(v.alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         state = stable(small.where(u != v).distinct())
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        del both, least, large, small
         if now == told:
             break
         told = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    release(edges.sparkSession)
     return state.select(u.alias("node"), v.alias("root")).unionByName(state.select(v.alias("node"), v.alias("root")).distinct())

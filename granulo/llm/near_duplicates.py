@@ -8,9 +8,10 @@ are expanded to members and verified on whole sets.
 Only links between different texts, and only as many as components need, are verified. A shingle that up to three groups
 share gives all their pairs. In a longer list, sorted by size, each group is paired with the two before it and with the
 first one, and its members are kept aside. Of these pairs each set's most promising is verified first; then those between
-sets that are still in different components. Then come the lists that still span components: a short list gives the pairs between them that
-sizes and places allow, in a long one the sets outside its largest component are compared with all of it in blocks. So nothing is lost, a large group of near copies
-costs a few pairs a member, and only what stays apart in it is compared with all of it, without making rows for pairs.
+sets that are still in different components. Then come the lists that still span components: a short list gives the pairs
+between them that sizes and places allow; in a long one the sets outside its largest component are compared with all of it
+in blocks. So nothing is lost, a large group of near copies costs a few pairs a member, and only what stays apart in it is
+compared with all of it, without making rows for pairs.
 """
 
 from __future__ import annotations
@@ -329,7 +330,8 @@ def verified_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int)
     """Links ``u, v`` between nodes of one list and different components.
 
     All but the nodes of a list's largest component are asked about, BLOCK of them or so at a time: an index of their
-    shingles is held while all nodes of the list pass by. One row is made for each node and block, and one for each link.
+    shingles is held while all nodes of the list pass by. One row is made for each node and block, and one for each set asked
+    about and component that it links with there.
     """
     rows = rest.withColumn("blocks", F.ceil(F.col("asked") / BLOCK).cast("int"))
     asked = rows.where("root <> main").select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("late"), "node", "root")
@@ -338,7 +340,7 @@ def verified_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []  # the open block's sets: node, root, shingles
-        index = None
+        index, joined = None, set()
         for batch in batches:
             for part in slices(batch):
                 token, block, late, node, root = (part.column(c).to_pylist() for c in ("token", "block", "late", "node", "root"))
@@ -346,7 +348,7 @@ def verified_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int)
                 u, v = [], []
                 for i, s in enumerate(sets):
                     if (token[i], block[i]) != key:
-                        key, held, index = (token[i], block[i]), [], None
+                        key, held, index, joined = (token[i], block[i]), [], None, set()
                     if not late[i]:
                         held.append((node[i], root[i], s))
                         continue
@@ -362,7 +364,8 @@ def verified_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int)
                     at = np.repeat(first - np.cumsum(width) + width, width) + np.arange(width.sum())
                     both = np.bincount(index[1][at], minlength=len(held))
                     for j in np.flatnonzero(100 * both >= percent * (index[2] + len(s) - both)).tolist():
-                        if held[j][1] != root[i]:
+                        if held[j][1] != root[i] and (j, root[i]) not in joined:  # one link to each component will do
+                            joined.add((j, root[i]))
                             u.append(held[j][0]), v.append(node[i])
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
