@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulo.llm.common import chunks, shared_path, slices, stable
+from granulo.llm.common import chunks, release, shared_path, slices, stable
 from granulo.llm.components import components
 from granulo.llm.hashing import shingle_sets
 
@@ -260,6 +260,7 @@ def linked(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataF
     pairs = stable(pairs.unionByName(chain).groupBy("a", "b").agg(F.max("shared").alias("shared")))
     if pairs.isEmpty():
         return None
+    release(rows.sparkSession)
 
     # First each set's most promising partner; then what is still apart; then what no pair stands for yet.
     ends = pairs.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("node"))
