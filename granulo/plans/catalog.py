@@ -327,9 +327,9 @@ def antialias(spark, d):
     return spectrum.antialias(V.spectra(spark, d).where("k < 54"), 54).select("frame", "k", six(c("y")).alias("y"))
 
 
-@query("SELECT frame, t::BIGINT AS k, round(x, 9) AS x FROM lines JOIN perm ON perm.f = lines.k", [V.LINES, "perm(f, t) AS (VALUES " + values_sql(spectrum.short_order(44100)) + ")"])
+@query("SELECT frame, t::BIGINT AS k, x FROM lines JOIN perm ON perm.f = lines.k", [V.LINES, "perm(f, t) AS (VALUES " + values_sql(spectrum.short_order(44100)) + ")"])
 def reorder_short(spark, d):
-    return spectrum.reorder_short(V.lines(spark, d)).select("frame", "k", six(c("x"), 9).alias("x"))
+    return spectrum.reorder_short(V.lines(spark, d)).select("frame", "k", "x")
 
 
 @query(
