@@ -244,7 +244,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def linked(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """``node, root`` of nodes that verified links join, or None where there is no candidate at all."""
+    """``node, root`` of nodes that verified links join, or None where there is neither a pair nor a long list."""
     groups = known.where("n > 0").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np"), "gid")
     found = written(postings.repartition("token").sortWithinPartitions("token", "np", "gid").mapInArrow(_candidates(percent), FOUND), "candidates")
@@ -258,20 +258,15 @@ def linked(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataF
     two = members.select(F.col("gid").alias("b"), F.col("node").alias("nb"))
     pairs = pairs.join(one, "a").join(two, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "shared")
     pairs = stable(pairs.unionByName(chain).groupBy("a", "b").agg(F.max("shared").alias("shared")))
-    if pairs.isEmpty():
+    if not pairs.isEmpty():
+        release(rows.sparkSession)
+        roots = _paired(rows, pairs, words, percent)
+    elif not found.where("token IS NOT NULL").isEmpty():  # long lists may hold pairs that were not made
+        roots = rows.sparkSession.createDataFrame([], "node binary, root binary")
+    else:
         return None
-    release(rows.sparkSession)
-
-    # First each set's most promising partner; then what is still apart; then what no pair stands for yet.
-    ends = pairs.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("node"))
-    best = ends.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    texts = written(sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), "candidate-texts")
-    best = stable(best)
-    roots = components(verified(best, texts, words, percent))
-    apart = stable(_across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots))
-    if not apart.isEmpty():
-        roots = _joined(roots, verified(apart, texts, words, percent))
 
+    # Then what no pair stands for yet.
     hot = found.where("token IS NOT NULL").select("token", "gid", "np").join(members.select("gid", "node"), "gid").select("token", "node", "np")
     crowded = crowd.where("k > 2").select(F.col("gid").alias("token"), "node", F.shiftleft(F.col("n").cast("long"), 32).alias("np"))
     rest = _still_apart(hot.unionByName(crowded), roots, percent)
@@ -284,6 +279,17 @@ def linked(rows: DataFrame, known: DataFrame, words: int, percent: int) -> DataF
     return _joined(roots, more)
 
 
+def _paired(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components by ``pairs``: first each set's most promising partner is verified, then what is still apart."""
+    ends = pairs.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("node"))
+    best = ends.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+    texts = written(sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), "candidate-texts")
+    best = stable(best)
+    roots = components(verified(best, texts, words, percent))
+    apart = stable(_across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots))
+    return roots if apart.isEmpty() else _joined(roots, verified(apart, texts, words, percent))
+
+
 def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     """Components after further links; the same ones where there are none."""
     more = stable(more)

@@ -97,6 +97,23 @@ def test_small_vocabulary(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_only_long_lists_hold_a_link(spark):
+    """One shingle in five groups, whose neighbours and head do not go together: the only link is between the second and the last."""
+    vocabulary = [f"v{i}" for i in range(400)]
+    data = np.frombuffer("".join(vocabulary).encode(), np.uint8)
+    sets = hashing.shingle_sets(data, np.r_[0, np.cumsum([len(w) for w in vocabulary])], 1)
+    ordered = [w for _, w in sorted((int(s[0]) >> 7, w) for s, w in zip(sets, vocabulary))]
+    early, token, late = iter(ordered[:100]), ordered[100], iter(ordered[101:])
+    take = lambda words, n: [next(words) for _ in range(n)]
+    common = take(late, 18)
+    texts = [take(late, 9), take(early, 1) + common, take(early, 4) + take(late, 16), take(early, 4) + take(late, 16), take(early, 3) + common]
+    rows = [(i, " ".join([token, *words])) for i, words in enumerate(texts)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "doc_id long, text string")  # no task sees a shingle twice
+    got = near_duplicates.near_duplicates(df, words=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 1}
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == {0: 10, 1: 20, 2: 21, 3: 21, 4: 22}
+
+
 def test_at_the_threshold(spark):
     base = [f"w{i}" for i in range(94)]  # 90 shingles; ten shingles less at the end give 80 of 90
     rows = [(1, " ".join(base)), (2, " ".join(base[:76])), (3, " ".join(base[:75]))]  # 72/90 = 0.8 and 71/90
