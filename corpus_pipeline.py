@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from granulo.llm import crf_quality, near_duplicates, packing, toxicity
 from granulo.llm.common import shared_path, table
@@ -28,10 +27,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the least id. Documents without an id have no place in that order and stay."""
-    found = near_duplicates.near_duplicates(docs)
-    keep = found.select("component_id").where("component_id IS NOT NULL").distinct().withColumnRenamed("component_id", "__keep")
-    return docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component: the one with the least id. Wordless documents without an id are components of their own."""
+    return near_duplicates.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

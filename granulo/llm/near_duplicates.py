@@ -104,7 +104,12 @@ def prefix_of(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndar
 
 
 def entries(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """ENTRY of every row of ``doc_id, text``: set size, set digest, group (hash of size and prefix) and prefix; no node without words."""
+    """ENTRY of every row of ``doc_id, text``: set size, set digest, group (hash of size and prefix) and prefix; no node without words.
+
+    Further columns of ``rows`` are kept.
+    """
+    further = [f for f in rows.schema.fields if f.name not in ("doc_id", "text")]
+    names = [f.name for f in further]
     levels = rows.sparkSession.sparkContext.broadcast(frequency_levels(rows, words))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +126,10 @@ def entries(rows: DataFrame, words: int, percent: int) -> DataFrame:
             n = pa.array([len(s) for s in sets], pa.int32())
             starts = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(sets)), n, pa.array(node, pa.binary()), pa.array(gid, pa.int64()), lists], names=["doc_id", "n", "node", "gid", "prefix"])
+            kept = [batch.column(c).slice(at, len(sets)) for c in names]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(sets)), n, pa.array(node, pa.binary()), pa.array(gid, pa.int64()), lists, *kept], names=["doc_id", "n", "node", "gid", "prefix", *names])
 
-    return rows.mapInArrow(work, ENTRY)
+    return rows.mapInArrow(work, ", ".join([ENTRY, *(f"{f.name} {f.dataType.simpleString()}" for f in further)]))
 
 
 def _allowed(n1, p1, n2, p2, percent: int):
@@ -400,3 +406,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         ids = per_node.select("node", F.col("least").alias("component_id"))
     out = known.select("doc_id", "n", "node").join(ids, "node", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of ``docs``, whatever its ids: the one with the least id, a null id being the last.
+
+    Rows are known by 128-bit hashes of all their columns, which no repeated reading changes; of rows that are equal in all
+    columns one is kept. Rows without words link with nothing: those of one id are one component, each with a null id is its own.
+    """
+    values = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    marked = docs.withColumns({"__h": F.xxhash64(*values), "__g": F.xxhash64(F.lit(91), *values)})
+    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("__h").alias("h"), F.col("__g").alias("g"))
+    known = written(entries(rows, words, percent), "shingle-prefixes")
+    roots = linked(rows.select("doc_id", "text"), known, words, percent)
+    found = known.select("doc_id", "node", "h", "g").where("node IS NOT NULL OR doc_id IS NOT NULL")
+    if roots is not None:
+        found = found.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node"))
+    alone = F.when(F.col("node").isNull(), F.col("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g")).alias("m")
+    keep = found.groupBy("node", alone.alias("alone")).agg(first).select(F.col("m.h").alias("__h"), F.col("m.g").alias("__g"))
+    # Rows without words and without id are not among those found: they stay as they are.
+    free = docs.where(F.col("doc_id").isNull()).where(~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]"))
+    kept = marked.join(keep, ["__h", "__g"], "left_semi")
+    same = Window.partitionBy("__h", "__g").orderBy("__h")
+    return kept.withColumn("__k", F.row_number().over(same)).where("__k = 1").select(*docs.columns).unionByName(free)

@@ -47,6 +47,19 @@ def test_one_of_each_component_stays(stages):
     assert ids(after) == sorted({r["component_id"] for r in found})
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark, sf):
+    a, b = " ".join(f"a{i}" for i in range(120)), " ".join(f"b{i}" for i in range(50))
+    near = a.replace("a119", "z")
+    rows = [(1, a), (1, a), (1, near), (None, a), (2, near), (1, b), (7, b), (None, "no id one"), (None, "no id one"), (None, "no id two"), (5, ""), (5, None), (6, " "), (None, None), (None, "\t")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", k // 20) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf).collect()]
+    assert sum((t or "").startswith("a0") for _, t in out) == 1
+    assert sorted((i, t) for i, t in out if (t or "").startswith("b")) == [(1, b)]
+    assert sorted(t for _, t in out if (t or "").startswith("no id")) == ["no id one", "no id two"]
+    wordless = [i for i, t in out if not (t or "").strip()]
+    assert sorted(i for i in wordless if i) == [5, 6] and wordless.count(None) == 2 and len(out) == 8
+
+
 def test_everything_is_packed(stages, vocabulary):
     before, after = stages["packing"]
     want = packing.digest(before, vocabulary("word_bpe_49k.json"))
