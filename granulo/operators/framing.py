@@ -26,14 +26,24 @@ def cursor(granules: DataFrame) -> DataFrame:
     return granules.withColumn("bit_at", F.coalesce(F.sum("part2_3_length").over(w), F.lit(0)))
 
 
-def reservoir(frames: DataFrame, back: Column, by: str = "stream", order: str = "frame", data: str = "data", most: int = LOOKBACK, frames_back: int = 16) -> DataFrame:
+def bytes_before(frames: DataFrame, by: str, order: str, data: str, most: int = LOOKBACK) -> DataFrame:
+    """With ``__before``: the last ``most`` bytes of ``data`` before this frame in hexadecimal, from as many frames as they take."""
+    w = Window.partitionBy(by).orderBy(order)
+    size = F.coalesce(F.octet_length(data), F.lit(0)).cast("long")
+    # A row brings the frame before it, so that its own place is where those bytes end.
+    rows = frames.withColumn("__last", F.lag(F.substring(F.hex(data), -2 * most, 2 * most)).over(w))
+    rows = rows.withColumn("__at", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = Window.partitionBy(by).orderBy("__at").rangeBetween(1 - most, 0)
+    before = F.array_join(F.collect_list(F.when(F.length("__last") > 0, F.col("__last"))).over(near), "")
+    return rows.withColumn("__before", F.substring(before, -2 * most, 2 * most)).drop("__last", "__at")
+
+
+def reservoir(frames: DataFrame, back: Column, by: str = "stream", order: str = "frame", data: str = "data", most: int = LOOKBACK) -> DataFrame:
     """With ``view``: the last ``back`` bytes before this frame's, null where fewer are there, and the frame's own after them.
 
-    ``frames_back`` frames are looked at, enough where each brings 32 bytes or more; at most ``most`` bytes count.
+    At most ``most`` bytes count, from however many frames.
     """
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(-frames_back, -1)
-    before = F.array_join(F.collect_list(F.hex(F.col(data))).over(w), "")
-    rows = frames.withColumn("__before", F.substring(before, -2 * most, 2 * most)).withColumn("__back", back)
+    rows = bytes_before(frames, by, order, data, most).withColumn("__back", back)
     ok = (F.length("__before") >= 2 * F.col("__back")) & (F.col("__back") <= most)
     tail = F.when(F.col("__back") == 0, F.lit("")).otherwise(F.expr("right(__before, 2 * __back)"))
     return rows.withColumn("view", F.when(ok, F.unhex(F.concat(tail, F.hex(F.col(data)))))).drop("__before", "__back")

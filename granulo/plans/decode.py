@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from granulo.functions.tables import ALIAS_C, LONG_BANDS, PRETAB, SHORT_BANDS, intensity_ratio
 from granulo.operators.bitstream import frame_parts, granules
-from granulo.operators.framing import LOOKBACK
+from granulo.operators.framing import bytes_before
 from granulo.operators.spectrum import short_order
 
 _CS = np.array([1 / math.sqrt(1 + c * c) for c in ALIAS_C])
@@ -41,11 +41,7 @@ def with_reservoir(frames: DataFrame) -> DataFrame:
 
     schema = StructType([*frames.schema.fields, StructField("back", IntegerType()), StructField("main", BinaryType())])
     rows = frames.mapInArrow(parts, schema)
-    w = Window.partitionBy("path").orderBy("frame").rowsBetween(-LOOKBACK, -1)
-    tail = F.substring(F.hex("main"), -2 * LOOKBACK, 2 * LOOKBACK)
-    # The last LOOKBACK bytes before a frame: frames without main data add none, so few are joined in practice.
-    before = F.substring(F.array_join(F.collect_list(tail).over(w.rowsBetween(-32, -1)), ""), -2 * LOOKBACK, 2 * LOOKBACK)
-    rows = rows.withColumn("before", before)
+    rows = bytes_before(rows, "path", "frame", "main").withColumnRenamed("__before", "before")
     have = F.length("before") >= 2 * F.col("back")
     view = F.when(have, F.unhex(F.concat(F.expr("right(before, 2 * back)"), F.hex("main"))))
     return rows.withColumn("view", view).drop("before", "back", "main")

@@ -225,3 +225,15 @@ def test_low_rate_intensity_factors(spark):
     rows = spark.createDataFrame([(2, 0), (3, 0), (2, 1), (0, 1)], "p int, s int")
     got = [tuple(r) for r in rows.select(*low_rate_factors(F.col("p"), F.col("s"))).collect()]
     assert got == [(1.0, 0.5), (0.25, 1.0), (1.0, 0.25), (1.0, 1.0)]
+
+
+def test_reservoir_of_many_small_frames(spark):
+    from granulo.operators import framing
+
+    main = [bytes([i % 256, i // 256, 7][: i % 4]) for i in range(500)]  # 0 to 3 bytes a frame
+    df = spark.createDataFrame([("s", i, bytearray(m)) for i, m in enumerate(main)], "stream string, frame long, data binary")
+    for back in (511, 40, 0):
+        got = {r["frame"]: r["view"] for r in framing.reservoir(df, F.lit(back)).collect()}
+        for i, m in enumerate(main):
+            tail = b"".join(main[:i])
+            assert got[i] == (tail[len(tail) - back :] + m if len(tail) >= back else None)
