@@ -4,7 +4,7 @@ A text's bytes are cut into phrases whose borders depend on a few neighbours onl
 deterministic coin tossing (the lowest bit in which a symbol differs from the one before it, and that bit's value) shrinks
 labels to six values, whose local maxima begin phrases. Phrases are named by hashes of what they hold, and the names are
 parsed again, level by level. So equal substrings have equal names inside, wherever they stand. A fingerprint keeps the
-name of the whole and, in SLOTS slots, the least hashes of the phrase names of two middle levels.
+name of the whole and, in SLOTS slots, 16 bits of a hash of the least hash of the phrase names of two middle levels.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ _LOWEST = np.zeros(64, np.uint8)
 _LOWEST[[(0x03F79D71B4CB0A89 << i & (1 << 64) - 1) >> 58 for i in range(64)]] = np.arange(64)
 _ODD = np.random.Generator(np.random.PCG64(91)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-EMPTY = np.uint16(0xFFFF)
+EMPTY, NONE = np.uint16(0xFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _toss(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -98,14 +98,14 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         return roots, slots
     at = np.append(offsets[full], len(data))
     names = _BYTE[data]
-    flat = slots.ravel()
+    least = np.full(count * SLOTS, NONE, np.uint64)
     live = full
     for level in range(1, MOST_LEVELS):
         names, at = parse_level(names, at)
         if level in LEVELS:
             h = mix(names + np.uint64(level))
             owner = np.repeat(live, np.diff(at))
-            np.minimum.at(flat, owner * SLOTS + (h & np.uint64(SLOTS - 1)).astype(np.int64), np.minimum(h >> np.uint64(48), np.uint64(0xFFFE)).astype(np.uint16))
+            np.minimum.at(least, owner * SLOTS + (h & np.uint64(SLOTS - 1)).astype(np.int64), h)
         size = np.diff(at)
         if level >= max(LEVELS):
             done = size == 1
@@ -118,6 +118,8 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
                 break
     for i, a, b in zip(live.tolist(), at[:-1].tolist(), at[1:].tolist()):
         roots[i] = mix((names[a:b] * _ODD[np.arange(b - a) & 63]).sum(keepdims=True, dtype=np.uint64))[0]
+    # Minima of long texts crowd towards 0: they are hashed again before they are cut to 16 bits.
+    slots = np.where(least == NONE, EMPTY, np.minimum(mix(least) >> np.uint64(48), np.uint64(0xFFFE)).astype(np.uint16)).reshape(count, SLOTS)
     return mix(roots + np.diff(offsets).astype(np.uint64)), slots
 
 

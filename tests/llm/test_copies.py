@@ -215,3 +215,9 @@ def test_parsing_does_not_depend_on_the_batch():
 def test_likeness_survives_text_form():
     _, s = fingerprints._sketch(["some text that is long enough to have phrases " * 3])
     assert (fingerprints.from_text(fingerprints.as_text(5, s[0])) == s[0]).all()
+
+
+def test_long_unlike_texts_stay_unlike():
+    data = np.random.default_rng(8).integers(32, 127, 24_000_000).astype(np.uint8)
+    _, slots = fingerprints.fingerprints(data, np.array([0, 12_000_000, 24_000_000]))
+    assert (slots[0] != fingerprints.EMPTY).all() and (slots[0] == slots[1]).sum() <= 1
