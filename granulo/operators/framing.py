@@ -55,7 +55,7 @@ def merged_tags(newer: DataFrame, older: DataFrame) -> DataFrame:
 
 
 def error_measures(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mean square error and peak signal-to-noise ratio of ``l`` against ``r``."""
+    """Mean square error and peak signal-to-noise ratio of ``l`` against ``r``; without an error there is no ratio."""
     d = (F.col("l") - F.col("r")).cast("double")
     e = rows.groupBy(*by).agg(F.avg(d * d).alias("mse"), F.max(F.abs(F.col("r"))).alias("peak"), F.max(F.abs(d)).alias("max_err"))
-    return e.select(*by, F.sqrt("mse").alias("rms"), (20 * F.log10(F.col("peak") / F.sqrt("mse"))).alias("psnr_db"), "max_err")
+    return e.select(*by, F.sqrt("mse").alias("rms"), F.when(F.col("mse") > 0, 20 * F.log10(F.col("peak") / F.sqrt("mse"))).alias("psnr_db"), "max_err")

@@ -1,41 +1,72 @@
-"""Spectra in row form (``frame, k, x``): transforms by a basis, butterflies by self-join, permutations by a dimension."""
+"""Spectra in row form (``frame, k, x``): transforms as matrix products over whole frames, butterflies by pairs of lines, permutations by a dimension."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulo.functions.acoustics import hann
 from granulo.functions.tables import ALIAS_C, LONG_BANDS, PRETAB, SHORT_BANDS, dimension, long_bands
 
 
-def by_basis(rows: DataFrame, outputs: int, phase, window=None) -> DataFrame:
-    """``frame, j, y``: y = sum over k of x * window(k) * cos(phase(k, j)), for j below ``outputs``.
+#: Frames that are worked on at a time as one matrix.
+ROWS = 512
 
-    Rows are exploded to a fixed number of outputs and summed before the shuffle.
+
+def transformed(rows: DataFrame, size: int, work: Callable[[np.ndarray], list[np.ndarray]], columns: tuple[str, ...]) -> DataFrame:
+    """``frame, j`` and ``columns``: ``work`` over matrices of whole frames, a row each of ``size`` values; missing lines are zero.
+
+    Lines come together by frame in one shuffle, are worked on as matrices, and go out as rows again.
     """
-    x = F.col("x") * window(F.col("k")) if window else F.col("x")
-    wide = rows.select("frame", "k", x.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(outputs - 1))).alias("j"))
-    return wide.groupBy("frame", "j").agg(F.sum(F.col("x") * F.cos(phase(F.col("k"), F.col("j")))).alias("y"))
+    frames = rows.groupBy("frame").agg(F.collect_list(F.struct(F.col("k").cast("int").alias("k"), F.col("x").cast("double").alias("x"))).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lists = part.column("lines")
+                n = lists.value_lengths().to_numpy()
+                flat = lists.flatten()
+                x = np.zeros((len(n), size))
+                x[np.repeat(np.arange(len(n)), n), flat.field("k").to_numpy()] = flat.field("x").to_numpy()
+                out = work(x)
+                wide = out[0].shape[1]
+                frame = np.repeat(part.column("frame").to_numpy(), wide)
+                yield pa.RecordBatch.from_arrays([pa.array(frame), pa.array(np.tile(np.arange(wide, dtype=np.int32), len(n))), *(pa.array(np.ascontiguousarray(y).ravel()) for y in out)], names=["frame", "j", *columns])
+
+    return frames.select(F.col("frame").cast("long").alias("frame"), "lines").mapInArrow(run, "frame long, j int, " + ", ".join(f"{c} double" for c in columns))
+
+
+def mdct_basis(n: int) -> np.ndarray:
+    """The transform of ``n`` samples (36 or 12) to n / 2 lines, unnormalised: samples down, lines across."""
+    return np.cos(np.pi / (2 * n) * (2 * np.arange(n)[:, None] + 1 + n // 2) * (2 * np.arange(n // 2) + 1))
 
 
 def mdct(rows: DataFrame, n: int) -> DataFrame:
-    """The forward transform of ``n`` (36 or 12) windowed samples to n / 2 lines, unnormalised."""
-    h = n // 2
-    return by_basis(rows, h, lambda k, j: math.pi / (2 * n) * (2 * k + 1 + h) * (2 * j + 1))
+    """``frame, j, y``: the forward transform of ``n`` windowed samples to n / 2 lines."""
+    basis = mdct_basis(n)
+    return transformed(rows, n, lambda x: [x @ basis], ("y",))
 
 
 def imdct(rows: DataFrame, n: int) -> DataFrame:
-    """The backward transform of n / 2 lines to ``n`` samples, unnormalised."""
-    h = n // 2
-    return by_basis(rows, n, lambda k, j: math.pi / (2 * n) * (2 * j + 1 + h) * (2 * k + 1))
+    """``frame, j, y``: the backward transform of n / 2 lines to ``n`` samples."""
+    basis = mdct_basis(n).T
+    return transformed(rows, n // 2, lambda x: [x @ basis], ("y",))
 
 
-def overlap_add(raw: DataFrame, half: int = 18) -> DataFrame:
-    """``frame, i, y``: the first half of each frame plus the second half of the one before (``raw``: frame, j, y; frames one apart)."""
-    late = raw.where(F.col("j") >= half).select((F.col("frame") + 1).alias("frame"), (F.col("j") - half).alias("i"), F.col("y").alias("carry"))
+def cut(rows: DataFrame, size: int, length: int = 576) -> DataFrame:
+    """Frames of ``length`` lines as consecutive frames of ``size``, numbered on from ``frame * (length / size)``."""
+    per = -(-length // size)
+    return rows.select((F.col("frame") * per + F.floor(F.col("k") / size)).alias("frame"), (F.col("k") % size).alias("k"), "x")
+
+
+def overlap_add(raw: DataFrame, half: int = 18, step: int = 1) -> DataFrame:
+    """``frame, i, y``: the first half of each frame plus the second half of the one before (``raw``: frame, j, y; frames ``step`` apart)."""
+    late = raw.where(F.col("j") >= half).select((F.col("frame") + step).alias("frame"), (F.col("j") - half).alias("i"), F.col("y").alias("carry"))
     early = raw.where(F.col("j") < half).select("frame", F.col("j").alias("i"), "y")
     return early.join(late, ["frame", "i"], "left").select("frame", "i", (F.col("y") + F.coalesce("carry", F.lit(0.0))).alias("y"))
 
@@ -45,12 +76,19 @@ def invert_odd(rows: DataFrame, sub: Column) -> DataFrame:
     return rows.withColumn("y", F.when((sub % 2 == 1) & (F.col("i") % 2 == 1), -F.col("y")).otherwise(F.col("y")))
 
 
-def dft(rows: DataFrame, size: int, bins: int) -> DataFrame:
-    """``frame, j, re, im`` of Hann-windowed frames for the first ``bins`` bins."""
-    x = F.col("x") * hann(F.col("k"), size)
-    wide = rows.select("frame", "k", x.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("j"))
-    turn = 2 * math.pi * F.col("k") * F.col("j") / float(size)
-    return wide.groupBy("frame", "j").agg(F.sum(F.col("x") * F.cos(turn)).alias("re"), (-F.sum(F.col("x") * F.sin(turn))).alias("im"))
+def hann_window(size: int) -> np.ndarray:
+    return 0.5 * (1 - np.cos(2 * np.pi * np.arange(size) / (size - 1)))
+
+
+def dft(rows: DataFrame, size: int, bins: int | None = None) -> DataFrame:
+    """``frame, j, re, im`` of Hann-windowed frames of ``size`` values by a fast transform; the first ``bins`` bins, or all of them."""
+    window, bins = hann_window(size), bins or size // 2 + 1
+
+    def work(x: np.ndarray) -> list[np.ndarray]:
+        y = np.fft.rfft(x * window, axis=1)[:, :bins]
+        return [y.real, y.imag]
+
+    return transformed(rows, size, work, ("re", "im"))
 
 
 def power(spectrum: DataFrame) -> DataFrame:

@@ -171,11 +171,14 @@ def scfsi_reuse(spark, d):
 
 @query(
     "SELECT stream, frame, CASE WHEN back <= 511 AND length(coalesce(before, '')) >= 2 * back THEN lower(right(coalesce(before, ''), CAST(2 * back AS INT)) || data) END AS view_hex FROM b",
-    ["b0 AS (SELECT doc_id % 10 AS stream, doc_id // 10 AS frame, (doc_id * 37) % 600 AS back, hex(encode(substr(lang || ':' || source || ':' || CAST(n_chars AS VARCHAR) || repeat('x', 32), 1, 40))) AS data FROM documents)", "b AS (SELECT *, string_agg(data, '') OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS before FROM b0)"],
+    [
+        "b0 AS (SELECT doc_id % 10 AS stream, doc_id // 10 AS frame, (doc_id * 37) % 600 AS back, hex(encode(CASE WHEN doc_id % 4 = 0 THEN coalesce(text, '') ELSE lang || ':' || source END)) AS data FROM documents)",
+        "b AS (SELECT *, string_agg(right(data, 1022), '') OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b0)",
+    ],
 )
 def reservoir_view(spark, d):
-    text = F.substring(F.concat_ws(":", "lang", "source", c("n_chars").cast("string")), 1, 400)
-    rows = V.table(spark, d, "documents").select((c("doc_id") % 10).alias("stream"), F.floor(c("doc_id") / 10).alias("frame"), (c("doc_id") * 37 % 600).alias("back"), F.encode(F.substring(F.concat(text, F.repeat(F.lit("x"), 32)), 1, 40), "UTF-8").alias("data"))
+    data = F.when(c("doc_id") % 4 == 0, F.coalesce("text", F.lit(""))).otherwise(F.concat("lang", F.lit(":"), "source"))
+    rows = V.table(spark, d, "documents").select((c("doc_id") % 10).alias("stream"), F.floor(c("doc_id") / 10).alias("frame"), (c("doc_id") * 37 % 600).alias("back"), F.encode(data, "UTF-8").alias("data"))
     return framing.reservoir(rows, c("back")).select("stream", "frame", F.lower(F.hex("view")).alias("view_hex"))
 
 
@@ -268,47 +271,65 @@ _DFT = [V.SPECTRA, "dft AS (SELECT frame, j, sum(x * w * cos(2 * pi() * k * j /
 
 @query("SELECT frame, j::INT AS j, round(re * re + im * im, 6) AS p FROM dft", _DFT)
 def dft_power(spark, d):
-    return spectrum.power(spectrum.dft(V.spectra(spark, d), 64, 33)).select("frame", "j", six(c("p")).alias("p"))
+    return spectrum.power(spectrum.dft(V.spectra(spark, d), 64)).select("frame", "j", six(c("p")).alias("p"))
 
 
-@query("SELECT frame, j::INT AS j, round(re, 6) AS re, round(im, 6) AS im FROM dft WHERE j < 9", _DFT)
+@query("SELECT frame, j::INT AS j, round(re, 6) AS re, round(im, 6) AS im FROM dft", _DFT)
 def complex_spectrum(spark, d):
-    return spectrum.dft(V.spectra(spark, d), 64, 9).select("frame", "j", six(c("re")).alias("re"), six(c("im")).alias("im"))
+    return spectrum.dft(V.spectra(spark, d), 64).select("frame", "j", six(c("re")).alias("re"), six(c("im")).alias("im"))
 
 
 @query("SELECT frame, round(sum((re * re + im * im) * CASE WHEN j IN (0, 32) THEN 1 ELSE 2 END) / 64, 6) AS spectral, round(any_value(e), 6) AS direct FROM dft JOIN (SELECT frame, sum(x * x * pow(0.5 * (1 - cos(2 * pi() * k / 63.0)), 2)) AS e FROM spec GROUP BY 1) USING (frame) GROUP BY frame", _DFT)
 def parseval(spark, d):
     rows = V.spectra(spark, d)
-    p = spectrum.power(spectrum.dft(rows, 64, 33)).groupBy("frame").agg((F.sum(c("p") * F.when(c("j").isin(0, 32), 1).otherwise(2)) / 64).alias("s"))
+    p = spectrum.power(spectrum.dft(rows, 64)).groupBy("frame").agg((F.sum(c("p") * F.when(c("j").isin(0, 32), 1).otherwise(2)) / 64).alias("s"))
     e = rows.groupBy("frame").agg(F.sum(F.pow(c("x") * A.hann(c("k"), 64), F.lit(2))).alias("e"))
     return p.join(e, "frame").select("frame", six(c("s")).alias("spectral"), six(c("e")).alias("direct"))
 
 
 @query("SELECT frame, j::INT AS j, round(CASE WHEN j < 2 THEN 0.5 ELSE least(greatest(sqrt(pow(re - hr, 2) + pow(im - hi, 2)) / (sqrt(re * re + im * im) + sqrt(hr * hr + hi * hi) + 1e-20), 0), 1) END, 6) AS c FROM (SELECT *, 2 * lag(re, 1) OVER w - lag(re, 2) OVER w AS hr, 2 * lag(im, 1) OVER w - lag(im, 2) OVER w AS hi FROM dft WINDOW w AS (PARTITION BY frame ORDER BY j))", _DFT)
 def unpredictability(spark, d):
-    return spectrum.unpredictability(spectrum.dft(V.spectra(spark, d), 64, 33)).select("frame", "j", six(c("c")).alias("c"))
+    return spectrum.unpredictability(spectrum.dft(V.spectra(spark, d), 64)).select("frame", "j", six(c("c")).alias("c"))
 
 
-def _basis(n: int, back: bool) -> str:
-    h = n // 2
-    a, b, m = ("j", "k", n) if back else ("k", "j", h)
-    return f"SELECT frame, j, sum(x * cos(pi() / {2 * n} * (2 * {a} + 1 + {h}) * (2 * {b} + 1))) AS y FROM (SELECT * FROM spec WHERE k < {h if back else n}) CROSS JOIN (SELECT unnest(range({m})) AS j) GROUP BY frame, j"
+_FRAMES = ["sig0 AS (SELECT stream * 100000 + n // 576 AS frame, n % 576 + 448 AS k, s FROM sig)", "fr AS (SELECT frame, k, s::DOUBLE AS x FROM sig0 UNION ALL SELECT frame + 1, k - 576, s FROM sig0 WHERE k >= 576 AND frame + 1 IN (SELECT frame FROM sig0))"]
+_FFT = [V.SAMPLES, *_FRAMES, "fft AS (SELECT frame, j, sum(x * w * cos(2 * pi() * (k * j % 1024) / 1024.0)) AS re, -sum(x * w * sin(2 * pi() * (k * j % 1024) / 1024.0)) AS im FROM (SELECT *, 0.5 * (1 - cos(2 * pi() * k / 1023.0)) AS w FROM fr) CROSS JOIN (SELECT unnest(range(513)) AS j) GROUP BY frame, j)"]
 
 
-@query(f"SELECT frame, j::INT AS j, round(y, 6) AS y FROM ({_basis(36, False)})", [V.SPECTRA])
+def analysis_frames(spark, d):
+    """``frame, k, x``: frames of 1024 samples, each a block with the 448 samples before it."""
+    rows = blocks.overlapped(V.samples(spark, d))
+    return rows.select((c("stream") * 100_000 + c("frame")).alias("frame"), c("i").alias("k"), c("s").cast("double").alias("x"))
+
+
+@query("SELECT frame, j::INT AS j, round(log10(re * re + im * im + 1), 6) AS level FROM fft", _FFT)
+def fft_power(spark, d):
+    return spectrum.power(spectrum.dft(analysis_frames(spark, d), 1024)).select("frame", "j", six(F.log10(c("p") + 1)).alias("level"))
+
+
+def _mdct_sql(n: int) -> str:
+    cut = f"(SELECT frame * {576 // n} + k // {n} AS frame, k % {n} AS k, x FROM lines)"
+    return f"SELECT frame, j, sum(x * cos(pi() / {2 * n} * (2 * k + 1 + {n // 2}) * (2 * j + 1))) AS y FROM {cut} CROSS JOIN (SELECT unnest(range({n // 2})) AS j) GROUP BY frame, j"
+
+
+@query(f"SELECT frame, j::INT AS j, round(y, 6) AS y FROM ({_mdct_sql(36)})", [V.LINES])
 def mdct36(spark, d):
-    return spectrum.mdct(V.spectra(spark, d).where("k < 36"), 36).select("frame", "j", six(c("y")).alias("y"))
+    return spectrum.mdct(spectrum.cut(V.lines(spark, d), 36), 36).select("frame", "j", six(c("y")).alias("y"))
 
 
-@query(f"SELECT frame, j::INT AS j, round(y, 6) AS y FROM ({_basis(12, False)})", [V.SPECTRA])
+@query(f"SELECT frame, j::INT AS j, round(y, 6) AS y FROM ({_mdct_sql(12)})", [V.LINES])
 def mdct12(spark, d):
-    return spectrum.mdct(V.spectra(spark, d).where("k < 12"), 12).select("frame", "j", six(c("y")).alias("y"))
+    return spectrum.mdct(spectrum.cut(V.lines(spark, d), 12), 12).select("frame", "j", six(c("y")).alias("y"))
 
 
-@query("SELECT a.frame, a.j::INT AS i, round((a.y + coalesce(b.y, 0)) * CASE WHEN a.frame % 2 = 1 AND a.j % 2 = 1 THEN -1 ELSE 1 END, 6) AS y FROM raw a LEFT JOIN raw b ON b.frame = a.frame - 1 AND b.j = a.j + 18 WHERE a.j < 18", [V.SPECTRA, f"raw AS ({_basis(36, True)})"])
+@query(
+    "SELECT a.frame, a.sub, a.j::INT AS i, round((a.y + coalesce(b.y, 0)) * CASE WHEN a.sub % 2 = 1 AND a.j % 2 = 1 THEN -1 ELSE 1 END, 6) AS y FROM raw a LEFT JOIN raw b ON b.frame = a.frame - 1 AND b.sub = a.sub AND b.j = a.j + 18 WHERE a.j < 18",
+    [V.LINES, "raw AS (SELECT frame, k // 18 AS sub, j, sum(x * cos(pi() / 72 * (2 * j + 19) * (2 * (k % 18) + 1))) AS y FROM lines CROSS JOIN (SELECT unnest(range(36)) AS j) GROUP BY ALL)"],
+)
 def imdct_ola(spark, d):
-    added = spectrum.overlap_add(spectrum.imdct(V.spectra(spark, d).where("k < 18"), 36))
-    return spectrum.invert_odd(added, c("frame")).select("frame", "i", six(c("y")).alias("y"))
+    added = spectrum.overlap_add(spectrum.imdct(spectrum.cut(V.lines(spark, d), 18), 36), step=32)
+    added = added.withColumns({"sub": c("frame") % 32, "frame": F.floor(c("frame") / 32)})
+    return spectrum.invert_odd(added, c("sub")).select("frame", "sub", "i", six(c("y")).alias("y"))
 
 
 @query("SELECT stream, block, k, round((l + r) / sqrt(2.0), 4) AS m, round((l - r) / sqrt(2.0), 4) AS s FROM lr", [V.STEREO])
@@ -321,10 +342,10 @@ _LOSS = ", ".join(f"[{1 / math.sqrt(1 + x * x)!r}, {x / math.sqrt(1 + x * x)!r}]
 
 @query(
     f"SELECT a.frame, a.k, round(CASE WHEN b.k IS NULL THEN a.x WHEN a.up THEN a.x * [{_LOSS}][a.i + 1][1] + b.x * [{_LOSS}][a.i + 1][2] ELSE a.x * [{_LOSS}][a.i + 1][1] - b.x * [{_LOSS}][a.i + 1][2] END, 6) AS y FROM p a LEFT JOIN p b ON b.frame = a.frame AND b.k = 2 * a.at - 1 - a.k AND a.at > 0",
-    [V.SPECTRA, "p AS (SELECT *, CASE WHEN (k + 8) % 18 < 16 AND (k + 8) // 18 BETWEEN 1 AND 2 THEN (k + 8) // 18 * 18 ELSE 0 END AS at, (k + 8) % 18 >= 8 AS up, CASE WHEN (k + 8) % 18 >= 8 THEN (k + 8) % 18 - 8 ELSE 7 - (k + 8) % 18 END AS i FROM spec WHERE k < 54)"],
+    [V.LINES, "p AS (SELECT *, CASE WHEN (k + 8) % 18 < 16 AND (k + 8) // 18 BETWEEN 1 AND 31 THEN (k + 8) // 18 * 18 ELSE 0 END AS at, (k + 8) % 18 >= 8 AS up, CASE WHEN (k + 8) % 18 >= 8 THEN (k + 8) % 18 - 8 ELSE 7 - (k + 8) % 18 END AS i FROM lines)"],
 )
 def antialias(spark, d):
-    return spectrum.antialias(V.spectra(spark, d).where("k < 54"), 54).select("frame", "k", six(c("y")).alias("y"))
+    return spectrum.antialias(V.lines(spark, d)).select("frame", "k", six(c("y")).alias("y"))
 
 
 @query("SELECT frame, t::BIGINT AS k, x FROM lines JOIN perm ON perm.f = lines.k", [V.LINES, "perm(f, t) AS (VALUES " + values_sql(spectrum.short_order(44100)) + ")"])
@@ -496,13 +517,12 @@ def subblock_gain(spark, d):
     return decisions.subblock_gains(e)
 
 
-_Q = "q AS (SELECT frame, k, CAST(CASE WHEN x < 0 THEN -v ELSE v END AS INT) AS q FROM (SELECT *, least(floor(pow(abs(x), 0.75) * 8 * exp(-k / 12.0) + 0.4054), 3) AS v FROM spec))"
+_Q = "q AS (SELECT frame, k, CAST(floor(pow(x, 0.75) * (0.4 + frame % 4 * 0.5) * exp(-k / 60.0) + 0.4054) * CASE WHEN k % 3 = 0 THEN -1 ELSE 1 END AS INT) AS q FROM lines)"
 
 
 def _quantized(spark, d):
-    rows = V.spectra(spark, d)
-    v = F.least(F.floor(F.pow(F.abs("x"), F.lit(0.75)) * 8 * F.exp(-c("k") / 12.0) + 0.4054), F.lit(3))
-    return rows.select("frame", "k", F.when(c("x") < 0, -v).otherwise(v).cast("int").alias("q"))
+    v = F.floor(F.pow(c("x"), F.lit(0.75)) * (0.4 + c("frame") % 4 * 0.5) * F.exp(-c("k") / 60.0) + 0.4054)
+    return V.lines(spark, d).select("frame", "k", F.when(c("k") % 3 == 0, -v).otherwise(v).cast("int").alias("q"))
 
 
 @query("SELECT frame, k, CAST(CASE WHEN x < 0 THEN -v ELSE v END AS INT) AS q FROM (SELECT *, least(floor(pow(abs(x), 0.75) * pow(2.0, -20 * -3 / 16.0) + 0.4054), 8191) AS v FROM lines)", [V.LINES])
@@ -512,13 +532,13 @@ def quantize(spark, d):
 
 @query(
     "SELECT frame, last_nonzero::BIGINT AS last_nonzero, (SELECT min(b) FROM (SELECT even - 4 * u AS b FROM (SELECT unnest(range(0, even // 4 + 1)) AS u) WHERE even - 4 * u >= last_big))::BIGINT AS big_end FROM (SELECT *, last_nonzero + last_nonzero % 2 AS even FROM (SELECT frame, coalesce(max(CASE WHEN q <> 0 THEN k + 1 END), 0) AS last_nonzero, coalesce(max(CASE WHEN abs(q) > 1 THEN k + 1 END), 0) AS last_big FROM q GROUP BY 1))",
-    [V.SPECTRA, _Q],
+    [V.LINES, _Q],
 )
 def region_split(spark, d):
     return coding.regions(_quantized(spark, d)).select("frame", c("last_nonzero").cast("long").alias("last_nonzero"), "big_end")
 
 
-_HUFF = [V.SPECTRA, _Q, "pr AS (SELECT frame, k // 2 AS i, max(CASE WHEN k % 2 = 0 THEN abs(q) END) AS x, max(CASE WHEN k % 2 = 1 THEN abs(q) END) AS y FROM q GROUP BY 1, 2)", "hd(tab, code, len, x, y) AS (VALUES " + values_sql(pair_rows()) + ")", "hc AS (SELECT frame, tab, sum(len + (pr.x > 0)::INT + (pr.y > 0)::INT)::BIGINT AS bits, count(*) AS c FROM pr JOIN hd ON hd.x = pr.x AND hd.y = pr.y GROUP BY 1, 2 HAVING count(*) = 32)"]
+_HUFF = [V.LINES, _Q, "pr AS (SELECT frame, k // 2 AS i, max(CASE WHEN k % 2 = 0 THEN abs(q) END) AS x, max(CASE WHEN k % 2 = 1 THEN abs(q) END) AS y FROM q GROUP BY 1, 2)", "hd(tab, code, len, x, y) AS (VALUES " + values_sql(pair_rows()) + ")", "hc AS (SELECT frame, tab, sum(len + (pr.x > 0)::INT + (pr.y > 0)::INT)::BIGINT AS bits, count(*) AS c FROM pr JOIN hd ON hd.x = pr.x AND hd.y = pr.y GROUP BY 1, 2 HAVING count(*) = 288)"]  # a table that does not reach every value has no cost
 
 
 @query("SELECT frame, tab::INT AS tab, bits FROM hc", _HUFF)
@@ -531,12 +551,12 @@ def huff_best(spark, d):
     return coding.cheapest(coding.pair_costs(coding.pairs(_quantized(spark, d))))
 
 
-@query("SELECT id, peek, len::INT AS len, x::INT AS x, y::INT AS y FROM (SELECT event_id AS id, (event_id * 2654435761) % 256 AS peek FROM events) JOIN hd ON tab = 5 AND peek >= code << (8 - len) AND peek < (code + 1) << (8 - len)", _HUFF[3:4])
+@query("SELECT id, peek, len::INT AS len, x::INT AS x, y::INT AS y FROM (SELECT event_id AS id, (event_id * 2654435761) % 256 AS peek FROM events) JOIN hd ON tab = 5 AND peek >= code << (8 - len) AND peek < (code + 1) << (8 - len)", ["hd(tab, code, len, x, y) AS (VALUES " + values_sql(pair_rows()) + ")"])
 def huff_prefix(spark, d):
     return coding.match_prefix(V.table(spark, d, "events").select(c("event_id").alias("id"), (c("event_id") * 2654435761 % 256).alias("peek")), 5)
 
 
-@query("SELECT stream, block, round(sqrt(mse), 4) AS rms, round(20 * log10(peak / sqrt(mse)), 6) AS psnr_db, max_err FROM (SELECT stream, block, avg((l - r)::DOUBLE * (l - r)) AS mse, max(abs(r)) AS peak, max(abs(l - r))::DOUBLE AS max_err FROM lr GROUP BY 1, 2)", [V.STEREO])
+@query("SELECT stream, block, round(sqrt(mse), 4) AS rms, CASE WHEN mse > 0 THEN round(20 * log10(peak / sqrt(mse)), 6) END AS psnr_db, max_err FROM (SELECT stream, block, avg((l - r)::DOUBLE * (l - r)) AS mse, max(abs(r)) AS peak, max(abs(l - r))::DOUBLE AS max_err FROM lr GROUP BY 1, 2)", [V.STEREO])
 def psnr_rms(spark, d):
     return framing.error_measures(V.stereo(spark, d), ["stream", "block"]).select("stream", "block", six(c("rms"), 4).alias("rms"), six(c("psnr_db")).alias("psnr_db"), "max_err")
 

@@ -39,22 +39,24 @@ SAMPLES = f"""sig AS (SELECT stream, n, CASE WHEN (n // 576) % 5 = 3 AND n % 576
   FROM (SELECT event_id // {STREAM} AS stream, row_number() OVER (PARTITION BY event_id // {STREAM} ORDER BY event_id) - 1 AS n,
     CAST(floor(value * 100 + 0.5) AS BIGINT) AS s FROM events))"""
 
-_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity"]
+_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]
+#: Suppliers whose prices make one stream: so many that a stream's last, partial block is a small part of it.
+SUPPLIERS = 10
 
 
 def stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``stream, block, k, l, r``: prices of each supplier as one stream; the right channel is the discounted price, whole blocks only."""
+    """``stream, block, k, l, r``: prices of SUPPLIERS suppliers as one stream; the right channel is the discounted price. Last blocks are shorter."""
     c = F.col
-    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_ORDER)) - 1
-    rows = table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("stream"), n.alias("n"), F.floor(c("l_extendedprice") * 100 + 0.5).alias("l"), F.floor(c("l_extendedprice") * 100 * (1 - c("l_discount")) + 0.5).alias("r"))
-    rows = rows.withColumns({"block": F.floor(c("n") / 576), "k": (c("n") % 576).cast("long")})
-    whole = F.count("*").over(Window.partitionBy("stream", "block")) == 576
-    return rows.select("stream", "block", "k", "l", "r", whole.alias("whole")).where("whole").drop("whole")
+    stream = F.floor(c("l_suppkey") / SUPPLIERS)
+    n = F.row_number().over(Window.partitionBy("stream").orderBy(*_ORDER)) - 1
+    rows = table(spark, sf_dir, "lineitem").select(stream.alias("stream"), *_ORDER).withColumn("n", n)
+    rows = rows.select("stream", "n", F.floor(c("l_extendedprice") * 100 + 0.5).alias("l"), F.floor(c("l_extendedprice") * 100 * (1 - c("l_discount")) + 0.5).alias("r"))
+    return rows.select("stream", F.floor(c("n") / 576).alias("block"), (c("n") % 576).cast("long").alias("k"), "l", "r")
 
 
-STEREO = f"""lr0 AS (SELECT l_suppkey AS stream, row_number() OVER (PARTITION BY l_suppkey ORDER BY {", ".join(_ORDER)}) - 1 AS n,
+STEREO = f"""lr0 AS (SELECT l_suppkey // {SUPPLIERS} AS stream, row_number() OVER (PARTITION BY l_suppkey // {SUPPLIERS} ORDER BY {", ".join(_ORDER)}) - 1 AS n,
     CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS l, CAST(floor(l_extendedprice * 100 * (1 - l_discount) + 0.5) AS BIGINT) AS r FROM lineitem),
-lr AS (SELECT stream, n // 576 AS block, n % 576 AS k, l, r FROM lr0 QUALIFY count(*) OVER (PARTITION BY stream, n // 576) = 576)"""
+lr AS (SELECT stream, n // 576 AS block, n % 576 AS k, l, r FROM lr0)"""
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +68,15 @@ SPECTRA = "spec AS (SELECT vec_id AS frame, unnest(range(len(embedding))) AS k,
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``frame, k, x``: whole blocks of the left channel as spectra of 576 lines that fall off with frequency."""
-    return stereo(spark, sf_dir).select((F.col("stream") * 1000 + F.col("block")).alias("frame"), "k", (F.col("l") / 1e6 / (1.0 + F.col("k") / 32.0)).alias("x"))
-
-
-LINES = STEREO + ",\nlines AS (SELECT stream * 1000 + block AS frame, k, l / 1e6 / (1.0 + k / 32.0) AS x FROM lr)"
+    """``frame, k, x``: blocks of the left channel as spectra of 576 lines that fall off with frequency; a short block's missing lines are zero."""
+    # The last line of a short block brings the lines that are missing behind it; the streams' own shuffle serves here too.
+    rows = stereo(spark, sf_dir).withColumn("next", F.lead("k").over(Window.partitionBy("stream", "block").orderBy("k")))
+    rows = rows.select((F.col("stream") * 100_000 + F.col("block")).alias("frame"), "k", "next", (F.col("l") / 1e6 / (1.0 + F.col("k") / 32.0)).alias("x"))
+    last = F.col("next").isNull() & (F.col("k") < 575)
+    rest = F.when(last, F.transform(F.sequence(F.col("k") + 1, F.lit(575).cast("long")), lambda k: F.struct(k.alias("k"), F.lit(0.0).alias("x")))).otherwise(F.array().cast("array<struct<k:bigint,x:double>>"))
+    return rows.select("frame", F.inline(F.concat(F.array(F.struct("k", "x")), rest)))
+
+
+LINES = STEREO + """,
+lines0 AS (SELECT stream * 100000 + block AS frame, k, l / 1e6 / (1.0 + k / 32.0) AS x FROM lr),
+lines AS (SELECT * FROM lines0 UNION ALL SELECT frame, unnest(range(n, 576)) AS k, 0.0::DOUBLE AS x FROM (SELECT frame, count(*) AS n FROM lines0 GROUP BY 1) WHERE n < 576)"""
