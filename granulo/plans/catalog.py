@@ -469,6 +469,112 @@ def dominant_partition(spark, d):
     return psycho.dominant_partition(V.lines(spark, d))
 
 
+_GAIN = 4.0
+_BIN = f"least(len(list_filter({_EDGES}, lambda e: e < j * 44100 / 1024.0)), 23)"
+
+
+def _pstats(name: str, rows: str) -> list[str]:
+    """CTEs ``name`` (frame, p, energy, t_sfm, t0) of rows (frame, k, p, e)."""
+    return [
+        f"{name}_e AS (SELECT *, lag(e) OVER w AS lo, lead(e) OVER w AS hi FROM ({rows}) WINDOW w AS (PARTITION BY frame ORDER BY k))",
+        f"{name}_s AS (SELECT frame, p, sum(e) AS energy, sum(ln(greatest(e, 1e-20))) AS ln_sum, count(*) AS n, coalesce(max(CASE WHEN e > coalesce(lo, 0) AND e > coalesce(hi, 0) THEN e END), 0) AS peak FROM {name}_e GROUP BY 1, 2)",
+        f"{name} AS (SELECT *, greatest(t_sfm, t_peak) AS t0 FROM (SELECT *, CASE WHEN energy > 1e-20 THEN least(greatest(-10 * log10(least(greatest(exp(ln_sum / n) / greatest(energy / n, 1e-20), 1e-20), 1)) / 60, 0), 1) ELSE 0 END AS t_sfm, CASE WHEN energy > 1e-20 THEN least(greatest(10 * log10(greatest(peak / (energy / n), 1)) / 20, 0), 1) ELSE 0 END AS t_peak FROM {name}_s))",
+    ]
+
+
+def _spread_sql(name: str, tones: str, silent: float = 0.0) -> str:
+    """CTE ``name`` (frame, p, threshold) of ``tones`` (frame, p, energy, t0)."""
+    spread = f"SELECT frame, maskee AS p, sum(CASE WHEN e_db + db >= -150 THEN pow(10.0, (e_db + db) / 10) ELSE 0 END) AS spread FROM (SELECT frame, p, CASE WHEN energy > 1e-30 THEN 10 * log10(energy) ELSE -200 END AS e_db FROM {tones}) JOIN sp ON masker = p GROUP BY 1, 2"
+    return f"{name} AS (SELECT s.frame, s.p, spread * pow(10.0, -(14.5 * coalesce(t0, {silent}) + 5.5 * (1 - coalesce(t0, {silent}))) / 10) / {_GAIN} AS threshold FROM ({spread}) s LEFT JOIN {tones} q ON q.frame = s.frame AND q.p = s.p)"
+
+
+def _weights_sql(name: str, weights: list) -> str:
+    return f"{name}(p, sfb, weight) AS (VALUES " + values_sql(weights) + ")"
+
+
+def _mask_sql(entries: str) -> str:
+    """Final rows of ``entries`` (frame, entry, width, energy, threshold)."""
+    return f"SELECT frame, entry::INT AS entry, width::BIGINT AS width, round(log10(energy + 1e-12), 6) AS level, round(log10(greatest(threshold, max(energy) OVER (PARTITION BY frame) * 1e-7 + 1e-12)), 6) AS mask FROM ({entries})"
+
+
+def _mask(rows):
+    return rows.select("frame", c("entry").cast("int").alias("entry"), c("width").cast("long").alias("width"), six(F.log10(c("energy") + 1e-12)).alias("level"), six(F.log10("threshold")).alias("mask"))
+
+
+_BW = "(SELECT frame, sfb, stop - first AS width, sum(x * x) AS energy FROM slines JOIN bands ON k >= first AND k < stop GROUP BY ALL)"
+_LONG_ENTRIES = f"SELECT b.frame, b.sfb AS entry, width, energy, threshold FROM {_BW} b JOIN (SELECT frame, sfb, sum(threshold * weight) AS threshold FROM th JOIN bw USING (p) GROUP BY 1, 2) t ON t.frame = b.frame AND t.sfb = b.sfb"
+_SIGNAL = [V.SAMPLES, V.SIGNAL_LINES, _BANDS, _weights_sql("bw", psycho.band_weights(long_bands(44100), 44100, 576)), *_SPREAD]
+_SLINES = f"SELECT frame, k, {_PART} AS p, x * x AS e FROM slines"
+_BINS = [*_FFT[1:], f"bins AS (SELECT frame, j AS k, {_BIN} AS p, re * re + im * im AS e FROM fft)"]
+
+
+def _power(spark, d):
+    return spectrum.power(spectrum.dft(analysis_frames(spark, d), 1024))
+
+
+@query(_mask_sql(_LONG_ENTRIES), [*_SIGNAL, *_pstats("tn", _SLINES), _spread_sql("th", "tn")])
+def psy1_long(spark, d):
+    return _mask(psycho.mask_long(V.signal_lines(spark, d), _GAIN).withColumnRenamed("sfb", "entry"))
+
+
+@query(_mask_sql(_LONG_ENTRIES), [*_SIGNAL, *_BINS, *_pstats("tl", _SLINES), *_pstats("tb", "SELECT * FROM bins"), "tn AS (SELECT tl.frame, tl.p, tl.energy, greatest(tl.t0, coalesce(tb.t0, 0)) AS t0 FROM tl LEFT JOIN tb USING (frame, p))", _spread_sql("th", "tn")])
+def psy1_fft(spark, d):
+    return _mask(psycho.mask_with_bins(V.signal_lines(spark, d), _power(spark, d), _GAIN).withColumnRenamed("sfb", "entry"))
+
+
+def _short_sql(mixed: bool) -> list[str]:
+    """CTEs up to ``sh`` (frame, sfb, w, width, energy, threshold) of the short bands."""
+    bands = psycho.short_bands(44100)[3 if mixed else 0 :]
+    part = _PART.replace("1152.0", "384.0")
+    low = f" UNION ALL SELECT frame, k, 0.0 FROM (SELECT DISTINCT frame FROM wr) CROSS JOIN (SELECT unnest(range({bands[0][1]})) AS k)" if mixed else ""
+    return [
+        "places(k, w, f, sfb) AS (VALUES " + values_sql(psycho.window_places(44100, mixed)) + ")",
+        "wr AS (SELECT frame * 3 + w AS frame, f AS k, x, sfb FROM slines JOIN places USING (k))",
+        *_pstats("ts", f"SELECT frame, k, {part} AS p, x * x AS e FROM (SELECT frame, k, x FROM wr{low})"),
+        _spread_sql("ths", "ts"),
+        _weights_sql("bws", psycho.band_weights(bands, 44100, 192)),
+        "wide(sfb, width) AS (VALUES " + values_sql([(b, e - a) for b, a, e in bands]) + ")",
+        "sh AS (SELECT b.frame // 3 AS frame, b.sfb, b.frame % 3 AS w, width, energy, threshold FROM (SELECT frame, sfb, sum(x * x) AS energy FROM wr GROUP BY 1, 2) b JOIN (SELECT frame, sfb, sum(threshold * weight) AS threshold FROM ths JOIN bws USING (p) GROUP BY 1, 2) t ON t.frame = b.frame AND t.sfb = b.sfb JOIN wide ON wide.sfb = b.sfb)",
+    ]
+
+
+@query(_mask_sql("SELECT frame, sfb * 3 + w AS entry, width, energy, threshold FROM sh"), [V.SAMPLES, V.SIGNAL_LINES, *_SPREAD, *_short_sql(False)])
+def psy1_short(spark, d):
+    return _mask(psycho.mask_short(V.signal_lines(spark, d), _GAIN))
+
+
+@query(
+    _mask_sql(f"SELECT * FROM ({_LONG_ENTRIES}) WHERE entry < 8 UNION ALL SELECT frame, 8 + (sfb - 3) * 3 + w, width, energy, threshold FROM sh"),
+    [*_SIGNAL, *_pstats("tn", _SLINES), _spread_sql("th", "tn"), *_short_sql(True)],
+)
+def psy1_mixed(spark, d):
+    return _mask(psycho.mask_mixed(V.signal_lines(spark, d), _GAIN))
+
+
+@query(
+    _mask_sql(_LONG_ENTRIES),
+    [
+        *_SIGNAL,
+        *_FFT[1:],
+        "un AS (SELECT frame, j, CASE WHEN j < 2 THEN 0.5 ELSE least(greatest(sqrt(pow(re - hr, 2) + pow(im - hi, 2)) / (sqrt(re * re + im * im) + sqrt(hr * hr + hi * hi) + 1e-20), 0), 1) END AS c FROM (SELECT *, 2 * lag(re, 1) OVER w - lag(re, 2) OVER w AS hr, 2 * lag(im, 1) OVER w - lag(im, 2) OVER w AS hi FROM fft WINDOW w AS (PARTITION BY frame ORDER BY j)))",
+        f"tc AS (SELECT frame, p, CASE WHEN count(*) < 2 THEN 0.5 ELSE 1 - avg(c) END AS t0 FROM (SELECT frame, c, {_BIN} AS p FROM un) GROUP BY 1, 2)",
+        f"tn AS (SELECT e.frame, e.p, energy, t0 FROM (SELECT frame, p, sum(e) AS energy FROM ({_SLINES}) GROUP BY 1, 2) e LEFT JOIN tc ON tc.frame = e.frame AND tc.p = e.p)",
+        _spread_sql("th", "tn", 0.5),
+    ],
+)
+def psy2_mask(spark, d):
+    return _mask(psycho.mask_by_prediction(V.signal_lines(spark, d), spectrum.unpredictability(spectrum.dft(analysis_frames(spark, d), 1024)), _GAIN).withColumnRenamed("sfb", "entry"))
+
+
+@query(
+    f"SELECT frame, b.sfb::INT AS sfb, round(log10(threshold * pow(10.0, -0.3 * coalesce(t_sfm, 0))), 6) AS mask FROM (SELECT frame, sfb, greatest(energy / {_RATIO!r}, max(energy) OVER (PARTITION BY frame) * 1e-7 + 1e-12) AS threshold FROM {_BW}) b JOIN bob ON bob.sfb = b.sfb LEFT JOIN (SELECT frame AS f, p AS q, t_sfm FROM tb) ON f = frame AND q = bob.p",
+    [V.SAMPLES, V.SIGNAL_LINES, _BANDS, *_BINS, *_pstats("tb", "SELECT * FROM bins"), "bob(sfb, p) AS (VALUES " + values_sql(psycho.bin_of_band()) + ")"],
+)
+def mask_lift(spark, d):
+    bands = psycho.band_threshold(psycho.band_energy(V.signal_lines(spark, d)), _RATIO)
+    return psycho.lifted(bands, _power(spark, d)).select("frame", "sfb", six(F.log10("threshold")).alias("mask"))
+
+
 # ---------------------------------------------------------------- decisions and coding
 
 

@@ -69,14 +69,30 @@ SPECTRA = "spec AS (SELECT vec_id AS frame, unnest(range(len(embedding))) AS k,
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``frame, k, x``: blocks of the left channel as spectra of 576 lines that fall off with frequency; a short block's missing lines are zero."""
-    # The last line of a short block brings the lines that are missing behind it; the streams' own shuffle serves here too.
-    rows = stereo(spark, sf_dir).withColumn("next", F.lead("k").over(Window.partitionBy("stream", "block").orderBy("k")))
-    rows = rows.select((F.col("stream") * 100_000 + F.col("block")).alias("frame"), "k", "next", (F.col("l") / 1e6 / (1.0 + F.col("k") / 32.0)).alias("x"))
+    rows = stereo(spark, sf_dir).select((F.col("stream") * 100_000 + F.col("block")).alias("frame"), "stream", "block", "k", (F.col("l") / 1e6 / (1.0 + F.col("k") / 32.0)).alias("x"))
+    return _filled(rows)
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    """Frames of 576 lines, those of a short block with zeros: its last line brings the lines that are missing behind it."""
+    rows = rows.withColumn("next", F.lead("k").over(Window.partitionBy("stream", "block").orderBy("k")))  # by the stream's own shuffle
     last = F.col("next").isNull() & (F.col("k") < 575)
     rest = F.when(last, F.transform(F.sequence(F.col("k") + 1, F.lit(575).cast("long")), lambda k: F.struct(k.alias("k"), F.lit(0.0).alias("x")))).otherwise(F.array().cast("array<struct<k:bigint,x:double>>"))
     return rows.select("frame", F.inline(F.concat(F.array(F.struct("k", "x")), rest)))
 
 
-LINES = STEREO + """,
-lines0 AS (SELECT stream * 100000 + block AS frame, k, l / 1e6 / (1.0 + k / 32.0) AS x FROM lr),
-lines AS (SELECT * FROM lines0 UNION ALL SELECT frame, unnest(range(n, 576)) AS k, 0.0::DOUBLE AS x FROM (SELECT frame, count(*) AS n FROM lines0 GROUP BY 1) WHERE n < 576)"""
+def _filled_sql(name: str, source: str) -> str:
+    return f"{name} AS (SELECT * FROM {source} UNION ALL SELECT frame, unnest(range(n, 576)) AS k, 0.0::DOUBLE AS x FROM (SELECT frame, count(*) AS n FROM {source} GROUP BY 1) WHERE n < 576)"
+
+
+LINES = STEREO + ",\nlines0 AS (SELECT stream * 100000 + block AS frame, k, l / 1e6 / (1.0 + k / 32.0) AS x FROM lr),\n" + _filled_sql("lines", "lines0")
+
+
+def signal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``frame, k, x``: blocks of the event signal as spectra of 576 lines, with the frame numbers of its analysis frames."""
+    block, k = F.floor(F.col("n") / 576), F.col("n") % 576
+    rows = samples(spark, sf_dir).select((F.col("stream") * 100_000 + block).alias("frame"), "stream", block.alias("block"), k.alias("k"), (F.col("s") / 1e4 / (1.0 + k / 32.0)).alias("x"))
+    return _filled(rows)
+
+
+SIGNAL_LINES = "slines0 AS (SELECT stream * 100000 + n // 576 AS frame, n % 576 AS k, s / 1e4 / (1.0 + n % 576 / 32.0) AS x FROM sig),\n" + _filled_sql("slines", "slines0")
