@@ -10,21 +10,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from granulo.functions.tables import LINBITS, LONG_BANDS, LSF_COUNTS, LSF_RADIX, PAIR_CODES, SLEN, pair_rows, quad_rows
+from granulo.functions.tables import LINBITS, LONG_BANDS, LSF_COUNTS, LSF_RADIX, PAIR_CODES, SLEN, pair_rows, quad_rows, read_pair_tables
 from granulo.sources.coded_audio import Header, header
 
 
 class Bits:
     """A reading place in a string of bits."""
 
-    def __init__(self, data: bytes):
-        self.size, self.at = 8 * len(data), 0
-        self.value = int.from_bytes(data, "big")
+    def __init__(self, data: bytes, at: int = 0):
+        self.size, self.at, self.data = 8 * len(data), at, data
 
     def peek(self, n: int) -> int:
-        """The next n bits, zeros standing for what is missing."""
-        over = self.at + n - self.size
-        return ((self.value << over if over > 0 else self.value >> -over) & ((1 << n) - 1)) if n else 0
+        """The next n (at most 56) bits, zeros standing for what is missing."""
+        first = self.at >> 3
+        word = self.data[first : first + 8]
+        over = 8 * len(word) - (self.at & 7) - n
+        value = int.from_bytes(word, "big")
+        return (value >> over if over >= 0 else value << -over) & ((1 << n) - 1)
 
     def take(self, n: int) -> int:
         if self.at + n > self.size:
@@ -35,15 +37,22 @@ class Bits:
 
 
 class Writer:
+    """Bits in the order in which they are put."""
+
     def __init__(self):
-        self.value, self.size = 0, 0
+        self.parts, self.size = [], 0
 
     def put(self, value: int, n: int) -> None:
-        self.value, self.size = self.value << n | value & ((1 << n) - 1), self.size + n
+        if n:
+            self.parts.append(format(value & ((1 << n) - 1), f"0{n}b"))
+            self.size += n
+
+    def extend(self, other: Writer) -> None:
+        self.parts += other.parts
+        self.size += other.size
 
     def bytes(self) -> bytes:
-        pad = -self.size % 8
-        return (self.value << pad).to_bytes((self.size + pad) // 8, "big")
+        return int("".join(["0", *self.parts]) + "0" * (-self.size % 8), 2).to_bytes(-(-self.size // 8), "big")
 
 
 @dataclass
@@ -187,16 +196,51 @@ def base_table(table: int) -> int:
     return 16 if 16 <= table < 24 else 24 if table >= 24 else table
 
 
-@lru_cache(maxsize=64)
-def _pair_lookup(table: int, words: str) -> tuple[int, list[tuple[int, int, int]]]:
+_made: dict = {}
+
+
+def _of_table(kind: str, table: int, make):
+    """What ``make`` makes of a pair table's rows, once for as long as the table has these words."""
+    base = base_table(table)
+    if base not in PAIR_CODES:
+        raise ValueError(f"table {table} is reserved" if base in (4, 14) else f"table {table} is not among the stated ones: tables.read_pair_tables takes it from a file")
+    held = _made.get((kind, base))
+    if held is None or held[0] is not PAIR_CODES[base]:
+        held = _made[kind, base] = PAIR_CODES[base], make([r for r in pair_rows() if r[0] == base])
+    return held[1]
+
+
+def pair_words(table: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """Code and length by values."""
+    return _of_table("words", table, lambda rows: {(x, y): (code, n) for _, code, n, x, y in rows})
+
+
+def pair_lengths(table: int) -> np.ndarray:
+    """Lengths by values, with the sign bits, as a square."""
+
+    def make(rows: list) -> np.ndarray:
+        side = round(len(rows) ** 0.5)
+        return np.array([n + (x > 0) + (y > 0) for _, _, n, x, y in rows]).reshape(side, side)
+
+    return _of_table("lengths", table, make)
+
+
+def _pair_lookup(table: int) -> tuple[int, list[tuple[int, int, int]]]:
     """The longest word's length, and for each string of so many bits the word's length and values."""
-    rows = [r for r in pair_rows() if r[0] == table]
-    most = max(r[2] for r in rows)
-    out: list = [None] * (1 << most)
-    for _, code, n, x, y in rows:
-        for i in range(code << (most - n), (code + 1) << (most - n)):
-            out[i] = (n, x, y)
-    return most, out
+
+    def make(rows: list) -> tuple[int, list]:
+        most = max(r[2] for r in rows)
+        out: list = [None] * (1 << most)
+        for _, code, n, x, y in rows:
+            out[code << (most - n) : (code + 1) << (most - n)] = [(n, x, y)] * (1 << (most - n))
+        return most, out
+
+    return _of_table("lookup", table, make)
+
+
+@lru_cache(maxsize=2)
+def quad_words(table: int) -> list[tuple[int, int]]:
+    return [(code, n) for t, code, n, _ in sorted(quad_rows(), key=lambda r: r[3]) if t == "AB"[table]]
 
 
 @lru_cache(maxsize=2)
@@ -209,15 +253,8 @@ def _quad_lookup(table: int) -> list[tuple[int, int]]:
     return out
 
 
-def _known(table: int) -> str:
-    base = base_table(table)
-    if base not in PAIR_CODES:
-        raise ValueError(f"table {table} is reserved or was not added")
-    return PAIR_CODES[base]
-
-
 def read_pair(bits: Bits, table: int) -> tuple[int, int]:
-    most, found = _pair_lookup(base_table(table), _known(table))
+    most, found = _pair_lookup(table)
     if bits.at >= bits.size:
         raise ValueError("stream exhausted")
     n, *values = found[bits.peek(most)]
@@ -260,35 +297,48 @@ def read_values(bits: Bits, g: Granule, rate: int, end: int) -> np.ndarray:
     return out
 
 
-def write_values(q: np.ndarray, table: int) -> tuple[Writer, int]:
-    """The code words of 576 lines with one pair table for all large values and table A for small ones; also how many pairs are large."""
-    out = Writer()
-    used = np.flatnonzero(q)
+def split_values(q: np.ndarray) -> tuple[int, int]:
+    """Where the pairs end and where the quadruples of at most one end, both even."""
+    used, large = np.flatnonzero(q), np.flatnonzero(np.abs(q) > 1)
     last = int(used[-1]) + 1 if len(used) else 0
     last += last % 2
-    large = np.flatnonzero(np.abs(q) > 1)
     top = int(large[-1]) + 1 if len(large) else 0
-    big = last - (last - top) // 4 * 4
-    words = {(x, y): (code, n) for t, code, n, x, y in pair_rows() if t == base_table(table)}
-    quads = {v: (code, n) for t, code, n, v in quad_rows() if t == "A"}
-    _known(table)
-    for x, y in q[:big].reshape(-1, 2).tolist():
-        out.put(*words[min(abs(x), 15) if table in LINBITS else abs(x), min(abs(y), 15) if table in LINBITS else abs(y)])
-        for v in (x, y):
-            if table in LINBITS and abs(v) >= 15:
-                out.put(abs(v) - 15, LINBITS[table])
-            if v:
-                out.put(v < 0, 1)
+    return last - (last - top) // 4 * 4, last
+
+
+def write_values(q: np.ndarray, tables: int | list[int], ends: tuple[int, int] = (576, 576), quads: int = 0) -> tuple[Writer, int]:
+    """The code words of 576 lines, and how many pairs are large: a pair table for each of three regions (or one for all) that end at ``ends``, a table for quadruples."""
+    out = Writer()
+    big, last = split_values(q)
+    tables = [tables] * 3 if isinstance(tables, int) else tables
+    edges = (0, min(ends[0], big), min(ends[1], big), big)
+    for table, a, b in zip(tables, edges, edges[1:]):
+        if a >= b:
+            continue
+        if table == 0:
+            if q[a:b].any():
+                raise ValueError("table 0 is for zeros")
+            continue
+        words, wide = pair_words(table), LINBITS.get(table)
+        for x, y in q[a:b].reshape(-1, 2).tolist():
+            ax, ay = abs(x), abs(y)
+            out.put(*words[(min(ax, 15), min(ay, 15)) if wide else (ax, ay)])
+            for v, m in ((x, ax), (y, ay)):
+                if wide and m >= 15:
+                    out.put(m - 15, wide)
+                if v:
+                    out.put(v < 0, 1)
+    words = quad_words(quads)
     for at in range(big, last, 4):
-        four = q[at : at + 4].tolist()
-        out.put(*quads[sum((v != 0) << (3 - i) for i, v in enumerate(four))])
+        four = [*q[at : at + 4].tolist(), 0, 0][:4]
+        out.put(*words[sum((v != 0) << (3 - i) for i, v in enumerate(four))])
         for v in four:
             if v:
                 out.put(v < 0, 1)
     return out, big // 2
 
 
-GRANULES = "path string, frame long, pts long, gr int, ch int, version int, sample_rate int, channels int, mode_extension int, joint boolean, q array<int>, global_gain int, block_type int, mixed boolean, subblock_gain array<int>, preflag int, scalefac_scale int, long_sf array<int>, short_sf array<int>, error string"
+GRANULES = "path string, frame long, pts long, gr int, ch int, version int, sample_rate int, channels int, mode_extension int, joint boolean, q array<int>, global_gain int, block_type int, mixed boolean, subblock_gain array<int>, preflag int, scalefac_scale int, intensity_scale int, long_sf array<int>, short_sf array<int>, error string"
 _NAMES = [c.split()[0] for c in GRANULES.split(", ")]
 
 
@@ -310,8 +360,7 @@ def read_granules(h: Header, info: SideInfo, main: bytes) -> Iterator[tuple[int,
         for ch, g in enumerate(row):
             if at // 8 >= len(main):
                 raise ValueError("ran out of main data")
-            bits = Bits(main)
-            bits.at = at
+            bits = Bits(main, at)
             if h.version == 1:
                 sf = read_scalefactors(bits, g, info.scfsi[ch], gr, firsts.get(ch))
             else:
@@ -321,30 +370,47 @@ def read_granules(h: Header, info: SideInfo, main: bytes) -> Iterator[tuple[int,
             at += g.part2_3_length
 
 
-def granules(frames: DataFrame) -> DataFrame:
+_STATED = dict(PAIR_CODES)
+
+
+@lru_cache(maxsize=8)
+def _tables_of(path: str) -> dict:
+    return {t: PAIR_CODES[t] for t in read_pair_tables(path)}
+
+
+def with_tables(path: str | None) -> None:
+    """From now on this process knows the stated pair tables and those of the file, and no others that a task before brought."""
+    more = _tables_of(path) if path else {}
+    PAIR_CODES.clear()
+    PAIR_CODES.update(_STATED | more)
+
+
+def granules(frames: DataFrame, tables: str | None = None) -> DataFrame:
     """GRANULES of frames (``path, frame, pts, data, view``): ``view`` is the frame's main data after what the reservoir gives, null where it lacks bytes.
 
     A frame without its reservoir gives silent granules; a frame that cannot be read gives one row with an error and no values.
+    ``tables`` is a file of further pair tables (``tables.read_pair_tables``).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with_tables(tables)
         for batch in batches:
             rows = []
             for path, frame, pts, data, view in zip(*(batch.column(c).to_pylist() for c in ("path", "frame", "pts", "data", "view"))):
                 try:
                     h, info, _ = frame_parts(data)
-                    known = (h.version, h.rate, 1 if h.mono else 2, h.mode_extension, h.joint)
+                    shape = (h.version, h.rate, 1 if h.mono else 2, h.mode_extension, h.joint)
                     if view is None:
                         for gr, row in enumerate(info.granules):
-                            rows += [(path, frame, pts, gr, ch, *known, [0] * 576, 0, 0, False, [0] * 3, 0, 0, [0] * 22, [0] * 39, "no reservoir") for ch in range(len(row))]
+                            rows += [(path, frame, pts, gr, ch, *shape, [0] * 576, 0, 0, False, [0] * 3, 0, 0, 0, [0] * 22, [0] * 39, "no reservoir") for ch in range(len(row))]
                         continue
                     got = list(read_granules(h, info, view))
-                    rows += [(path, frame, pts, gr, ch, *known, q.tolist(), g.global_gain, g.block_type if g.window_switching else 0, bool(g.mixed), g.subblock_gain, g.preflag, g.scalefac_scale, sf.long, [v for w in sf.short for v in w], None) for gr, ch, g, sf, q in got]
+                    rows += [(path, frame, pts, gr, ch, *shape, q.tolist(), g.global_gain, g.block_type if g.window_switching else 0, bool(g.mixed), g.subblock_gain, g.preflag, g.scalefac_scale, g.scalefac_compress & 1, sf.long, [v for w in sf.short for v in w], None) for gr, ch, g, sf, q in got]
                 except (ValueError, TypeError) as e:
-                    rows.append((path, frame, pts, None, None, *[None] * 14, str(e)))
+                    rows.append((path, frame, pts, None, None, *[None] * 15, str(e)))
             if rows:
                 cols = list(zip(*rows))
-                kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_NAMES)
 
     return frames.select("path", "frame", "pts", "data", "view").mapInArrow(work, GRANULES)
