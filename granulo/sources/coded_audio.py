@@ -6,24 +6,29 @@ frames are split by one task, batch by batch. Headers are parsed again as native
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
 from granulo.functions.header import reject_reason
 from granulo.functions.tables import BITRATES, SAMPLE_RATES
+from granulo.sources.sinks import opened
 
 SCAN, RESYNC, ROWS = 256 * 1024, 64 * 1024, 2048
 FRAMES = "path string, frame long, pts long, duration int, at long, skipped long, data binary"
 STREAMS = "path string, codec string, sample_rate int, channels int, first_at long, tags array<struct<key:string,value:string>>, pictures array<struct<mime:string,picture_type:int,description:string,data:binary>>, error string"
+_STREAMS = pa.schema([
+    ("path", pa.string()), ("codec", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("first_at", pa.int64()),
+    ("tags", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))),
+    ("pictures", pa.list_(pa.struct([("mime", pa.string()), ("picture_type", pa.int32()), ("description", pa.string()), ("data", pa.binary())]))),
+    ("error", pa.string()),
+])
 
 
 @dataclass(frozen=True)
@@ -166,24 +171,27 @@ def frames(files: DataFrame) -> DataFrame:
     """FRAMES of ``path, content``; a null or empty file has none."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in FRAMES.split(", ")]
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                rows = []
-                data = content.as_py() or b""
-                first = None
-                for n, (pts, at, skipped, frame) in enumerate(split(data)):
-                    first = first or header(frame)
-                    rows.append((path, n, pts, first.samples, at, skipped, frame))
-                    if len(rows) == ROWS:
-                        yield _batch(rows, names)
-                        rows = []
-                if rows:
-                    yield _batch(rows, names)
+                yield from frame_batches(path, content.as_py() or b"")
 
     return files.mapInArrow(work, FRAMES)
 
 
+def frame_batches(path: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    """FRAMES of one file, ROWS at a time."""
+    names = [c.split()[0] for c in FRAMES.split(", ")]
+    rows, first = [], None
+    for n, (pts, at, skipped, frame) in enumerate(split(data)):
+        first = first or header(frame)
+        rows.append((path, n, pts, first.samples, at, skipped, frame))
+        if len(rows) == ROWS:
+            yield _batch(rows, names)
+            rows = []
+    if rows:
+        yield _batch(rows, names)
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -202,23 +210,22 @@ def stream_row(path: str, data: bytes) -> tuple:
 
 def streams(files: DataFrame) -> DataFrame:
     """STREAMS of ``path, content``, one row a file; ``error`` where no frame is found."""
-    schema = spark_schema(STREAMS)
 
     def work(rows):
         for batch in rows:
-            out = [stream_row(p, c or b"") for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())]
-            cols = list(zip(*out)) if out else [[]] * 8
-            tags = pa.array([[{"key": k, "value": v} for k, v in t] for t in cols[5]], schema.field("tags").type)
-            names = ("mime", "picture_type", "description", "data")
-            pictures = pa.array([[dict(zip(names, p)) for p in t] for t in cols[6]], schema.field("pictures").type)
-            plain = [pa.array(c, schema.field(i).type) for i, c in enumerate(cols[:5])]
-            yield pa.RecordBatch.from_arrays([*plain, tags, pictures, pa.array(cols[7], pa.string())], schema=schema)
+            yield _stream_batch([stream_row(p, c or b"") for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())])
 
     return files.mapInArrow(work, STREAMS)
 
 
-def spark_schema(text: str) -> pa.Schema:
-    return to_arrow_schema(_parse_datatype_string(text))
+def _stream_batch(rows: list[tuple]) -> pa.RecordBatch:
+    schema = _STREAMS
+    cols = list(zip(*rows)) if rows else [[]] * 8
+    tags = pa.array([[{"key": k, "value": v} for k, v in t] for t in cols[5]], schema.field("tags").type)
+    names = ("mime", "picture_type", "description", "data")
+    pictures = pa.array([[dict(zip(names, p)) for p in t] for t in cols[6]], schema.field("pictures").type)
+    plain = [pa.array(c, schema.field(i).type) for i, c in enumerate(cols[:5])]
+    return pa.RecordBatch.from_arrays([*plain, tags, pictures, pa.array(cols[7], pa.string())], schema=schema)
 
 
 def probe_score(content: Column, extension: Column) -> Column:
@@ -236,33 +243,59 @@ def probe_score(content: Column, extension: Column) -> Column:
     )
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+#: Bytes that a stream's row needs beside what its leading tag holds: the scan for a header, and a trailing tag.
+TAIL = 128
+
+
+def _ends(system: fs.FileSystem, path: str, size: int) -> bytes:
+    """What ``stream_row`` reads of a file: its leading tag and the scan behind it, then its last bytes."""
+    with system.open_input_file(path) as f:
+        head = f.read_at(min(SCAN + 10, size), 0)
+        if head[:3] == b"ID3" and len(head) >= 10:
+            head = f.read_at(min(_syncsafe(head[6:10]) + 20 + SCAN, size), 0)
+        rest = max(size - TAIL, len(head))
+        return head + (f.read_at(size - rest, rest) if rest < size else b"")
 
 
 class _Reader(DataSourceReader):
+    """Files in the order of their names, FILES a partition at most. ``pattern`` keeps files whose name matches a glob."""
+
+    FILES = 16
+
     def __init__(self, options: dict):
-        self.path, self.what = options.get("path", ""), options.get("table", "frames")
+        self.path, self.what, self.pattern = options.get("path", ""), options.get("table", "frames"), options.get("pattern", "*")
+        if self.what not in ("frames", "streams"):
+            raise ValueError("option table is frames or streams")
 
     def partitions(self) -> list[InputPartition]:
-        found = [p for p in glob.glob(os.path.join(self.path, "**"), recursive=True) if os.path.isfile(p)] if os.path.isdir(self.path) else glob.glob(self.path)
-        return [_File(p) for p in sorted(found)]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
+        system, base = opened(self.path)
+        info = system.get_file_info(base)
+        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(base, recursive=True))
+        paths = sorted(f.path for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.pattern))
+        return [_Files(paths[i : i + self.FILES]) for i in range(0, len(paths), self.FILES)]
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        system, _ = opened(self.path)
         if self.what == "streams":
-            yield stream_row(partition.path, data)
+            yield _stream_batch([stream_row(p, _ends(system, p, system.get_file_info(p).size)) for p in partition.paths])
             return
-        first = None
-        for n, (pts, at, skipped, frame) in enumerate(split(data)):
-            first = first or header(frame)
-            yield partition.path, n, pts, first.samples, at, skipped, frame
+        for path in partition.paths:
+            with system.open_input_file(path) as f:
+                data = f.read()
+            yield from frame_batches(path, data)
 
 
 class CodedAudio(DataSource):
-    """``spark.read.format("coded_audio").option("table", "frames" or "streams").load(path)`` over a file system that all executors mount."""
+    """``spark.read.format("coded_audio").option("table", "frames" or "streams").load(path)``.
+
+    ``path`` is a file or folder in any store that pyarrow's file systems open (local, hdfs, s3, gs); ``binary_files`` serves all that Spark
+    itself reads. ``streams`` reads the two ends of each file only; rows go to Spark in record batches.
+    """
 
     @classmethod
     def name(cls) -> str:

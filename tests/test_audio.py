@@ -78,8 +78,32 @@ def test_data_source(spark, tmp_path):
     (tmp_path / "x.mp3").write_bytes(frame(SILENT_MONO) * 3)
     S.register(spark)
     assert spark.read.format("coded_audio").load(str(tmp_path)).count() == 3
-    assert spark.read.format("coded_audio").option("table", "streams").load(str(tmp_path)).first()["codec"] == "mp3"
-    assert S.frames(S.binary_files(spark, str(tmp_path))).count() == 3
+    streams = spark.read.format("coded_audio").option("table", "streams")
+    assert streams.load(str(tmp_path)).first()["codec"] == "mp3"
+    lead, tail = tag([(b"TIT2", b"\0" + b"T" * 300_000)]), b"TAG" + b"Other".ljust(30, b"\0") + b"X".ljust(30, b"\0") + bytes(65)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "long.mp3").write_bytes(lead + frame(SILENT_MONO) * 900 + tail)
+    whole = {r["path"].split("/")[-1]: r for r in S.streams(S.binary_files(spark, str(tmp_path))).collect()}
+    ends = {r["path"].split("/")[-1]: r for r in streams.load(f"file://{tmp_path}").collect()}
+    assert {k: v[1:] for k, v in ends.items()} == {k: v[1:] for k, v in whole.items()} and len(ends) == 2
+    assert spark.read.format("coded_audio").option("pattern", "l*").load(str(tmp_path)).count() == 900
+    assert S.frames(S.binary_files(spark, str(tmp_path / "x.mp3"))).count() == 3
+
+
+def test_sql_functions(spark):
+    from granulo.functions import sql
+
+    sql.register(spark)
+    words = [0xFFFB9000, 0xFFF390C0, 0xFFF38400, 0xFFFB94C0, 0xFEFB9000, 0xFFFBF000, 0xFFE384C0, 0xFFFD9000, 0xFFFF9200]
+    df = spark.createDataFrame([(h,) for h in words], "h long")
+    df.createOrReplaceTempView("words")
+    names = {"version": "audio_version", "layer": "audio_layer", "bitrate_kbps": "audio_kbps", "sample_rate": "audio_sample_rate", "channels": "audio_channels", "samples": "audio_samples", "side_bytes": "audio_side_bytes", "frame_bytes": "audio_frame_bytes"}
+    got = spark.sql("SELECT h, " + ", ".join(f"{f}(h) AS {n}" for n, f in names.items()) + " FROM words WHERE audio_reject_reason(h) IS NULL")
+    want = H.geometry(H.parsed(df)).select("h", *names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 7
+    spark.createDataFrame([("a", frame(SILENT_MONO) * 3), ("b", None)], "path string, content binary").createOrReplaceTempView("coded")
+    rows = spark.sql("SELECT path, frame, pts, kbps, length(data) AS n FROM coded, LATERAL audio_frames(content)").collect()
+    assert sorted(map(tuple, rows)) == [("a", i, 1152 * i, 128, 384) for i in range(3)]
 
 
 @pytest.mark.parametrize("table", sorted({r[0] for r in pair_rows()}))
@@ -116,7 +140,7 @@ def one_frame(qs, h=0xFFFBE4C0):
     main, row = B.Writer(), []
     for q in qs:
         g, body = coded(q)
-        main.put(body.value, body.size)
+        main.extend(body)
         row.append([g])
     side = B.write_side_info(B.SideInfo(0, [[0] * 4], row), True, True)
     return frame(h, side + main.bytes())
@@ -155,10 +179,11 @@ def test_scalefactor_reuse():
 def test_granules_and_spectra_round_trip(spark):
     qs = [random_lines(9), random_lines(10)]
     files = spark.createDataFrame([("x", one_frame(qs) + one_frame(qs[::-1]))], "path string, content binary")
-    rows = B.granules(D.with_reservoir(S.frames(files))).orderBy("frame", "gr").collect()
+    views = D.with_reservoir(S.frames(files))
+    rows = B.granules(views).orderBy("frame", "gr").collect()
     assert [r["error"] for r in rows] == [None] * 4
     assert [r["q"] for r in rows] == [q.tolist() for q in (*qs, *qs[::-1])]
-    spec = {(r["frame"], r["gr"]): np.array(r["x"]) for r in D.spectra(B.granules(D.with_reservoir(S.frames(files)))).collect()}
+    spec = {(r["frame"], r["gr"]): np.array(r["x"]) for r in D.spectra(views).collect()}
     want = np.sign(qs[0]) * np.abs(qs[0]) ** (4 / 3) * 2.0 ** ((180 - 210) / 4)
     want[384:] = 0
     assert np.allclose(spec[0, 0], D.butterflies(want, 31))
@@ -169,16 +194,106 @@ def test_silent_frames_are_silent(spark):
     rows = D.decode(S.frames(files)).collect()
     assert {p: sum(r["path"] == p for r in rows) for p in ("m1", "lsf", "low")} == {"m1": 6, "lsf": 4, "low": 2}
     assert all(not any(r["samples"]) for r in rows)
-    window = [0.0] * 512
-    assert D.synthesize(D.decode(S.frames(files)), window).count() == 12
+    pcm = D.pcm(S.frames(files)).collect()
+    assert len(pcm) == 12 and not any(any(r["pcm"]) for r in pcm)
 
 
 def test_missing_reservoir_is_silent(spark):
     side = B.write_side_info(B.SideInfo(400, [[0] * 4], [[B.Granule()], [B.Granule()]]), True, True)
     f = frame(SILENT_MONO, side)
     files = spark.createDataFrame([("x", f * 4)], "path string, content binary")
-    errors = [r["error"] for r in B.granules(D.with_reservoir(S.frames(files))).orderBy("frame", "gr").collect()]
+    views = D.with_reservoir(S.frames(files))
+    errors = [r["error"] for r in B.granules(views).orderBy("frame", "gr").collect()]
     assert errors == ["no reservoir"] * 4 + [None] * 4  # each frame brings 363 bytes
+    assert [r["granule"] for r in D.pcm(S.frames(files)).orderBy("granule").collect()] == list(range(8))  # silent ones stay
+
+
+def test_a_frame_that_cannot_be_decoded_is_silent_and_nothing_is_added_over_a_gap(spark):
+    good = one_frame([random_lines(9), random_lines(10)])
+    g = B.Granule(800, 20, 180, table_select=[13] * 3, region0_count=7, region1_count=7)
+    bad = frame(0xFFFBE4C0, B.write_side_info(B.SideInfo(0, [[0] * 4], [[g], [g]]), True, True))
+    files = spark.createDataFrame([("x", good + bad + good)], "path string, content binary")
+    rows = D.spectra(D.with_reservoir(S.frames(files))).orderBy("granule").collect()
+    assert [bool(r["error"]) for r in rows] == [False, False, True, True, False, False] and "table 13" in rows[2]["error"]
+    assert not any(rows[2]["x"]) and len(D.pcm(S.frames(files)).collect()) == 6
+    holes = spark.createDataFrame([("x", 0, g, [float(g)] * 576, [100.0] * 576) for g in (0, 1, 4)], "path string, ch int, granule long, head array<double>, tail array<double>").withColumn("x", F.col("head"))
+    got = {r["granule"]: r["samples"][0] for r in D.subband_samples(holes).collect()}
+    assert got == {0: 0.0, 1: 101.0, 4: 4.0}
+
+
+def test_look_back_over_segments(spark, monkeypatch):
+    monkeypatch.setattr(D, "SEGMENT", 3)
+    rows = spark.createDataFrame([("a", 0, g, g * g) for g in range(20) if g != 11], "path string, ch int, granule long, v long")
+    got = {r["granule"]: (r["v_1"], r["v_2"]) for r in D.with_before(rows, ["v"], 2).collect()}
+    there = lambda g: g * g if 0 <= g != 11 else None
+    assert got == {g: (there(g - 1), there(g - 2)) for g in range(20) if g != 11}
+
+
+def test_short_intensity_stereo():
+    """Above the bound the right channel is the left one by each window's position; below it nothing changes."""
+    h = S.header(word(0xFFFB9050))
+    g = B.Granule(window_switching=1, block_type=2)
+    sf = B.Scalefactors(short=[[b % 7, 7, 3] for b in range(13)])
+    left, q = np.arange(1.0, 577), np.zeros(576, int)
+    q[20] = 1  # band 1 of the short bands: the bound is 2
+    right = np.where(q, 5.0, 0.0)
+    bound = D.intensity_bound(q, h.rate, D.SHORT)
+    assert bound == 2 and D.intensity(left, right, h, g, sf, bound) == 24
+    assert (left[:24] == np.arange(1, 25)).all() and right[20] == 5
+    for a, b, band, w in D.entries(h.rate, D.SHORT):
+        pos, was = sf.short[band][w], np.arange(a + 1.0, b + 1)
+        if band >= 2:
+            kl, kr = (1.0, 0.0) if pos == 7 else D.intensity_ratio(pos)
+            assert np.allclose(left[a:b], was * kl) and np.allclose(right[a:b], was * kr)
+
+
+def test_low_rate_intensity_scale_is_the_compress_bit():
+    h = S.header(word(0xFFF39050))
+    for scale, step in ((0, 0.5), (1, 0.25)):
+        g, sf = B.Granule(scalefac_compress=10 + scale), B.Scalefactors([2] * 22)
+        left, right = np.ones(576), np.zeros(576)
+        D.intensity(left, right, h, g, sf, 0)
+        assert left[0] == 1 and right[0] == step
+
+
+def test_filter_bank_reconstructs():
+    from granulo.functions import filterbank as FB
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12, 576))
+    both = lambda v: np.concatenate([np.concatenate([np.zeros_like(v[:1]), v[:-1]]), v], -1)
+    y = FB.synthesis(both(FB.analysis(both(x)))).ravel()
+    x, y = x.ravel()[1000:6000], y[1481:6481]
+    assert abs(x @ y / (x @ x) - 1) < 1e-3 and 10 * np.log10((x @ x) / ((x - y) @ (x - y))) > 55
+    assert FB.synthesis_window()[256] == pytest.approx(1.14, abs=0.01) and FB.synthesis_window()[0] == 0
+    with pytest.raises(ValueError):
+        FB.synthesis_window([0.0])
+
+
+def large_table(bits=8):
+    """A complete code over 16 by 16 values by a rule: as long as it is for all."""
+    return [f"{{t}} {x} {y} {16 * x + y:0{bits}b}" for x in range(16) for y in range(16)]
+
+
+def test_large_tables_come_from_a_file(tmp_path, monkeypatch):
+    from granulo.functions import tables as T
+
+    monkeypatch.setattr(T, "PAIR_CODES", dict(T.PAIR_CODES))
+    monkeypatch.setattr(B, "PAIR_CODES", T.PAIR_CODES)
+    path = tmp_path / "tables.txt"
+    path.write_text("# further tables\n" + "\n".join(line.replace("{t}", str(t)) for t in (13, 16, 24) for line in large_table()))
+    with pytest.raises(ValueError, match="table 16"):
+        B.write_values(random_lines(1), 16)
+    assert T.read_pair_tables(str(path)) == [13, 16, 24]
+    for table, top in ((13, 15), (16, 16), (20, 78), (23, 8191), (24, 30), (31, 8191)):
+        q = random_lines(table, top)
+        q[3], q[8] = -top, top
+        body, pairs = B.write_values(q, table)
+        g = B.Granule(body.size, pairs, table_select=[table] * 3, region0_count=7, region1_count=7)
+        assert (B.read_values(B.Bits(body.bytes()), g, 44100, body.size) == q).all()
+    (tmp_path / "bad.txt").write_text("15 0 0 1\n")
+    with pytest.raises(ValueError):
+        T.add_pair_table(15, [(1, 1), (0, 2)])
 
 
 def test_broken_frame_is_an_error_row(spark):
