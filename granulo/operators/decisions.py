@@ -35,15 +35,44 @@ def intensity_bound(bands: DataFrame, by: list[str], lowest: int = 7) -> DataFra
     return rows.withColumn("run", run).groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("run"), F.col("sfb"))), F.lit(21)).alias("bound"))
 
 
-def intensity_position(bands: DataFrame) -> DataFrame:
-    """With ``is_pos``: of seven positions the first whose share of right energy is nearest; 7 for silence."""
+def _nearest(bands: DataFrame, ratios: list[tuple[float, float]]) -> Column:
+    """The first position whose share of right energy is nearest."""
     share = F.least(F.greatest(F.col("er") / (F.col("el") + F.col("er")), F.lit(0.0)), F.lit(1.0))
-    options = []
-    for p in range(7):
-        left, right = intensity_ratio(p)
-        options.append(F.struct(F.abs(F.lit(right * right / (left * left + right * right)) - share).alias("err"), F.lit(p).alias("pos")))
-    best = F.array_min(F.array(*options))["pos"]
-    return bands.withColumn("is_pos", F.when(F.col("el") + F.col("er") <= 0, 7).otherwise(best))
+    options = [F.struct(F.abs(F.lit(r * r / (l * l + r * r)) - share).alias("err"), F.lit(p).alias("pos")) for p, (l, r) in enumerate(ratios)]  # noqa: E741
+    return F.array_min(F.array(*options))["pos"]
+
+
+def low_rate_ratios() -> list[tuple[float, float]]:
+    """Left and right factors of the positions 0 to 30 at the fine scale."""
+    return [(1.0, 1.0) if p == 0 else (0.5 ** ((p + 1) // 2), 1.0) if p % 2 else (1.0, 0.5 ** ((p + 1) // 2)) for p in range(31)]
+
+
+def intensity_position(bands: DataFrame, low_rate: bool = False) -> DataFrame:
+    """With ``is_pos``: of seven positions (at low rates of 31) the first whose share of right energy is nearest; for silence 7 (at low rates 0)."""
+    ratios = low_rate_ratios() if low_rate else [intensity_ratio(p) for p in range(7)]
+    return bands.withColumn("is_pos", F.when(F.col("el") + F.col("er") <= 0, 0 if low_rate else 7).otherwise(_nearest(bands, ratios)))
+
+
+def intensity_rewrite(stereo: DataFrame, by: list[str], low_rate: bool = False, rate: int = 44100) -> DataFrame:
+    """``by, k, l, r`` after the encoder's intensity rewrite: from the bound up, left is what both channels are rebuilt from and right is zero.
+
+    At the high rates left takes both channels' magnitude and its own sign (right's where it is zero); at the low ones it is their mean at
+    position 0, the right channel at odd positions and itself at even ones. Silent bands (below 1e-4 of the loudest) only lose right.
+    """
+    sums = band_sums(stereo, by, rate)
+    e = F.col("el") + F.col("er")
+    silent = e < F.greatest(F.max(e).over(Window.partitionBy(*by)), F.lit(1e-12)) * 1e-4
+    place = intensity_position(sums, low_rate).withColumn("is_pos", F.when(silent, 0 if low_rate else 7).otherwise(F.col("is_pos")))
+    coded = place.join(intensity_bound(sums, by), by).where("sfb >= bound").select(*by, "sfb", "is_pos")
+    bands = F.broadcast(dimension(stereo.sparkSession, long_bands(rate)[:21], "sfb int, first long, end long"))
+    rows = stereo.select(*by, "k", F.col("l").cast("double").alias("l"), F.col("r").cast("double").alias("r"))
+    rows = rows.join(bands, (F.col("k") >= F.col("first")) & (F.col("k") < F.col("end")), "left").join(coded, [*by, "sfb"], "left")
+    l, r, pos = F.col("l"), F.col("r"), F.col("is_pos")  # noqa: E741
+    if low_rate:
+        new = F.when(pos == 0, (l + r) / 2).when(pos % 2 == 1, r).otherwise(l)
+    else:
+        new = F.when(pos == 7, l).otherwise(F.when((l < 0) | ((l == 0) & (r < 0)), -1.0).otherwise(1.0) * F.sqrt(l * l + r * r))
+    return rows.select(*by, "k", F.when(pos.isNull(), l).otherwise(new).alias("l"), F.when(pos.isNull(), r).otherwise(0.0).alias("r"))
 
 
 def low_rate_factors(position: Column, scale: Column) -> tuple[Column, Column]:

@@ -149,6 +149,12 @@ def window_places(rate: int, mixed: bool = False) -> list[tuple[int, int, int, i
     return out
 
 
+def windows(lines: DataFrame, rate: int = 44100, mixed: bool = False) -> DataFrame:
+    """``frame, window, f, sfb, x``: the lines of short granules by window, place there and band; a mixed granule's long lines are left out."""
+    dim = F.broadcast(dimension(lines.sparkSession, window_places(rate, mixed), "k long, window long, f long, sfb int"))
+    return lines.join(dim, "k").select("frame", "window", "f", "sfb", "x")
+
+
 def _floored(bands: DataFrame) -> DataFrame:
     """Thresholds of no less than 1e-7 of the granule's loudest band."""
     floor = F.max("energy").over(Window.partitionBy("frame")) * 1e-7 + 1e-12
@@ -183,8 +189,7 @@ def mask_with_bins(lines: DataFrame, power: DataFrame, gain: float, rate: int =
 
 def _short_entries(lines: DataFrame, gain: float, rate: int, mixed: bool) -> DataFrame:
     """``frame, sfb, window, width, energy, threshold``: every window's spectrum has its own partitions and spreading."""
-    dim = F.broadcast(dimension(lines.sparkSession, window_places(rate, mixed), "k long, window long, f long, sfb int"))
-    rows = lines.join(dim, "k").select((F.col("frame") * 3 + F.col("window")).alias("frame"), F.col("f").alias("k"), "x", "sfb")
+    rows = windows(lines, rate, mixed).select(F.struct("frame", "window").alias("frame"), F.col("f").alias("k"), "x", "sfb")
     energy = rows.groupBy("frame", "sfb").agg(F.sum(F.col("x") * F.col("x")).alias("energy"))
     bands = short_bands(rate)[3 if mixed else 0 :]
     spectra = rows.select("frame", "k", "x")
@@ -194,7 +199,7 @@ def _short_entries(lines: DataFrame, gain: float, rate: int, mixed: bool) -> Dat
     thresholds = _rebinned(spread_threshold(tones_of(spectra, rate, 192), gain, rate), band_weights(bands, rate, 192))
     widths = F.broadcast(dimension(lines.sparkSession, [(b, e - a) for b, a, e in bands], "sfb int, width long"))
     out = energy.join(thresholds, ["frame", "sfb"]).join(widths, "sfb")
-    return out.select(F.floor(F.col("frame") / 3).alias("frame"), "sfb", (F.col("frame") % 3).cast("int").alias("window"), "width", "energy", "threshold")
+    return out.select(F.col("frame.frame").alias("frame"), "sfb", F.col("frame.window").cast("int").alias("window"), "width", "energy", "threshold")
 
 
 def mask_short(lines: DataFrame, gain: float, rate: int = 44100) -> DataFrame:

@@ -20,7 +20,7 @@ ROWS = 512
 def transformed(rows: DataFrame, size: int, work: Callable[[np.ndarray], list[np.ndarray]], columns: tuple[str, ...]) -> DataFrame:
     """``frame, j`` and ``columns``: ``work`` over matrices of whole frames, a row each of ``size`` values; missing lines are zero.
 
-    Lines come together by frame in one shuffle, are worked on as matrices, and go out as rows again.
+    Lines come together by frame (of any type) in one shuffle, are worked on as matrices, and go out as rows again.
     """
     frames = rows.groupBy("frame").agg(F.collect_list(F.struct(F.col("k").cast("int").alias("k"), F.col("x").cast("double").alias("x"))).alias("lines"))
 
@@ -35,10 +35,11 @@ def transformed(rows: DataFrame, size: int, work: Callable[[np.ndarray], list[np
                 x[np.repeat(np.arange(len(n)), n), flat.field("k").to_numpy()] = flat.field("x").to_numpy()
                 out = work(x)
                 wide = out[0].shape[1]
-                frame = np.repeat(part.column("frame").to_numpy(), wide)
-                yield pa.RecordBatch.from_arrays([pa.array(frame), pa.array(np.tile(np.arange(wide, dtype=np.int32), len(n))), *(pa.array(np.ascontiguousarray(y).ravel()) for y in out)], names=["frame", "j", *columns])
+                frame = part.column("frame").take(pa.array(np.repeat(np.arange(len(n)), wide)))
+                yield pa.RecordBatch.from_arrays([frame, pa.array(np.tile(np.arange(wide, dtype=np.int32), len(n))), *(pa.array(np.ascontiguousarray(y).ravel()) for y in out)], names=["frame", "j", *columns])
 
-    return frames.select(F.col("frame").cast("long").alias("frame"), "lines").mapInArrow(run, "frame long, j int, " + ", ".join(f"{c} double" for c in columns))
+    kind = frames.schema["frame"].dataType.simpleString()
+    return frames.mapInArrow(run, f"frame {kind}, j int, " + ", ".join(f"{c} double" for c in columns))
 
 
 def mdct_basis(n: int) -> np.ndarray:

@@ -610,6 +610,64 @@ def is_position(spark, d):
     return decisions.intensity_position(_intensity(spark, d)).select("stream", "block", "sfb", "is_pos")
 
 
+_LOW = values_sql([(p, b * b / (a * a + b * b)) for p, (a, b) in enumerate(decisions.low_rate_ratios())])
+_HIGH = values_sql([(p, b * b / (a * a + b * b)) for p in range(7) for a, b in [intensity_ratio(p)]])
+
+
+@query(
+    f"SELECT stream, block, sfb::INT AS sfb, CAST(CASE WHEN el + er <= 0 THEN 0 ELSE pos END AS INT) AS is_pos FROM ib CROSS JOIN LATERAL (SELECT arg_min(p, abs(share - er / (el + er))) AS pos FROM (VALUES {_LOW}) v(p, share))",
+    _IS,
+)
+def is_position_lsf(spark, d):
+    return decisions.intensity_position(_intensity(spark, d), True).select("stream", "block", "sfb", "is_pos")
+
+
+def _rewrite_sql(low: bool) -> str:
+    new = "CASE WHEN pos = 0 THEN (l + x) / 2 WHEN pos % 2 = 1 THEN x ELSE l END" if low else "CASE WHEN pos = 7 THEN l ELSE CASE WHEN l < 0 OR (l = 0 AND x < 0) THEN -1 ELSE 1 END * sqrt(l * l + x * x) END"
+    return f"SELECT stream, block, k, round(CASE WHEN pos IS NULL THEN l ELSE {new} END, 3) AS l, round(CASE WHEN pos IS NULL THEN x ELSE 0 END, 3) AS r FROM lx LEFT JOIN bands ON k >= first AND k < stop AND sfb < 21 LEFT JOIN cd USING (stream, block, sfb)"
+
+
+def _rewrite_ctes(low: bool) -> list[str]:
+    return [
+        *_IS,
+        "lx AS (SELECT stream, block, k, l::DOUBLE AS l, CASE WHEN k % 7 = 0 THEN -r::DOUBLE * (stream % 5) ELSE r::DOUBLE END AS x FROM lr)",
+        "sl AS (SELECT *, el + er < greatest(max(el + er) OVER (PARTITION BY stream, block), 1e-12) * 1e-4 AS silent FROM ib)",
+        "bd AS (SELECT stream, block, coalesce(min(CASE WHEN run THEN sfb END), 21) AS bound FROM (SELECT *, bool_and(silent OR abs(el - er) >= 0.85 * (el + er) OR (sqrt(el * er) > 1e-12 AND abs(c) >= 0.85 * sqrt(el * er))) OVER (PARTITION BY stream, block ORDER BY sfb DESC ROWS UNBOUNDED PRECEDING) AS run FROM sl WHERE sfb >= 7) GROUP BY 1, 2)",
+        f"cd AS (SELECT stream, block, sfb, CASE WHEN silent OR el + er <= 0 THEN {0 if low else 7} ELSE p0 END AS pos FROM sl JOIN bd USING (stream, block) CROSS JOIN LATERAL (SELECT arg_min(p, abs(share - er / (el + er))) AS p0 FROM (VALUES {_LOW if low else _HIGH}) v(p, share)) WHERE sfb >= bound)",
+    ]
+
+
+@query(_rewrite_sql(False), _rewrite_ctes(False))
+def is_rewrite(spark, d):
+    return _rewritten(spark, d, False)
+
+
+@query(_rewrite_sql(True), _rewrite_ctes(True))
+def is_rewrite_lsf(spark, d):
+    return _rewritten(spark, d, True)
+
+
+def _rewritten(spark, d, low: bool):
+    x = F.when(c("k") % 7 == 0, -c("r") * (c("stream") % 5)).otherwise(c("r"))
+    out = decisions.intensity_rewrite(V.stereo(spark, d).withColumn("r", x.cast("double")), ["stream", "block"], low)
+    return out.select("stream", "block", "k", six(c("l"), 3).alias("l"), six(c("r"), 3).alias("r"))
+
+
+@query("SELECT frame, w::INT AS window, count(*) AS n, round(sum(x * x), 6) AS energy, round(sum(f * x), 6) AS moment FROM lines JOIN pl USING (k) GROUP BY 1, 2", [V.LINES, "pl(k, w, f, sfb) AS (VALUES " + values_sql(psycho.window_places(44100)) + ")"])
+def short_windows(spark, d):
+    return _windows(spark, d, False)
+
+
+@query("SELECT frame, w::INT AS window, count(*) AS n, round(sum(x * x), 6) AS energy, round(sum(f * x), 6) AS moment FROM lines JOIN pl USING (k) GROUP BY 1, 2", [V.LINES, "pl(k, w, f, sfb) AS (VALUES " + values_sql(psycho.window_places(44100, True)) + ")"])
+def mixed_windows(spark, d):
+    return _windows(spark, d, True)
+
+
+def _windows(spark, d, mixed: bool):
+    rows = psycho.windows(V.lines(spark, d), mixed=mixed)
+    return rows.groupBy("frame", "window").agg(F.count("*").alias("n"), six(F.sum(c("x") * c("x"))).alias("energy"), six(F.sum(c("f") * c("x"))).alias("moment")).withColumn("window", c("window").cast("int"))
+
+
 @query("SELECT pos, scale, CASE WHEN pos % 2 = 1 THEN pow(st, (pos + 1) // 2) ELSE 1.0 END AS kl, CASE WHEN pos = 0 OR pos % 2 = 1 THEN 1.0 ELSE pow(st, (pos + 1) // 2) END AS kr FROM (SELECT event_id % 32 AS pos, event_id // 32 AS scale, CASE WHEN event_id // 32 = 1 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS st FROM events WHERE event_id < 64)")
 def is_factors_lsf(spark, d):
     rows = V.table(spark, d, "events").where("event_id < 64").select((c("event_id") % 32).alias("pos"), F.floor(c("event_id") / 32).alias("scale"))
