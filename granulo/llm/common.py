@@ -2,19 +2,76 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that is worked on at a time inside a Python worker, as arrays of many bytes a byte or as strings; one longer document is a chunk of its own.
 #: Some whole-array steps take about 100 bytes a byte of text.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes that go to a Python worker at a time.
+BATCH_BYTES = 2 << 20
+
+#: What a Python worker keeps from task to task of one stage, and that stage.
+_held: dict = {}
+_stage: list[int | None] = [None]
+
+
+def held(key, make: Callable):
+    """``make()``, made once for the tasks that a Python worker runs of one stage."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def worker(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``: what tasks of other stages hold in the worker goes first, freed memory goes back to the system at the end.
+
+    Workers are used again by later stages, and memory that one keeps counts against its executor all that time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        stage = task.stageId() if task else None
+        if stage != _stage[0]:
+            _held.clear()
+            _stage[0] = stage
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def in_arrow(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``rows.mapInArrow`` of ``work`` as ``worker`` makes it, over batches of at most BATCH_BYTES, or of one larger row.
+
+    The bound is a setting of the session and stays there, as the rows may be asked for later; one that was set before holds. Spark's own is
+    64 MB, and the buffers of such batches take hundreds of megabytes beside an executor's heap.
+    """
+    conf = rows.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name).removesuffix("b") == str(64 << 20):
+        conf.set(name, f"{BATCH_BYTES}b")
+    return rows.mapInArrow(worker(work), schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,22 +98,64 @@ def shared_dir(spark: SparkSession) -> str:
 def stable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs a read and not a recomputation.
 
-    The context cleaner removes the files when no plan refers to them any more.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go when no plan refers to them any more; else they stay
+    until the folder is cleared. For small tables; ``Scratch`` is for large ones.
     """
     spark = df.sparkSession
     shared = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    with shuffles_end(spark):
+        return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the context cleaner delete shuffle and checkpoint files that no plan refers to any more.
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Within it, the shuffle files of an action go when the action ends, whenever a collector runs on the driver."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    It acts on the driver's garbage collections, which a long loop over small tables hardly causes.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+class Scratch:
+    """Tables in the shared folder that last as long as the ``with`` block: what a step needs more than once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` computed once; a lost executor costs a read and not a recomputation."""
+        self.paths.append(shared_path(self.spark, name))
+        return written(df, self.paths[-1])
+
+    def drop(self) -> None:
+        """Removes what is kept so far."""
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``, whose shuffles go at once."""
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -221,3 +221,58 @@ def test_long_unlike_texts_stay_unlike():
     data = np.random.default_rng(8).integers(32, 127, 24_000_000).astype(np.uint8)
     _, slots = fingerprints.fingerprints(data, np.array([0, 12_000_000, 24_000_000]))
     assert (slots[0] != fingerprints.EMPTY).all() and (slots[0] == slots[1]).sum() <= 1
+
+
+def test_bitmaps_never_hide_a_link(spark):
+    """Bitmaps of sets that link pass the filter, in columns as in arrays, and those of unlike sets do not."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(300):
+        n = int(rng.integers(1, 700))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.choice([0.8, 0.9, 0.97])], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 6))).astype(np.uint64)])
+        rows += [(a, b), (a, np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)))]
+    rows = [(a, b) for a, b in rows if len(a) and len(b)]
+    df = spark.createDataFrame([(i, len(a), near_duplicates.bitmap_of(a).tolist(), len(b), near_duplicates.bitmap_of(b).tolist()) for i, (a, b) in enumerate(rows)], "i int, n1 int, b1 array<long>, n2 int, b2 array<long>")
+    c = lambda x: df[x]
+    got = {r["i"]: r["ok"] for r in df.select("i", near_duplicates.may_link(c("b1"), c("n1"), c("b2"), c("n2"), 80).alias("ok")).collect()}
+    kept = 0
+    for i, (a, b) in enumerate(rows):
+        both = len(np.intersect1d(a, b))
+        maps = near_duplicates.Bitmaps(80)
+        maps.add(0, len(a), b"r", near_duplicates.bitmap_of(a).view(np.uint64))
+        maps.close()
+        near = len(maps.near(len(b), b"s", near_duplicates.bitmap_of(b).view(np.uint64))) == 1
+        assert near == got[i]
+        assert got[i] or 100 * both < 80 * (len(a) + len(b) - both)
+        kept += got[i] and both < 0.3 * len(a)
+    assert kept < 10
+
+
+def test_two_large_groups_and_a_hub(spark):
+    """Two groups of 2,000 sets that differ late, sharing prefixes, and a hub whose copies all differ: one component each, no more rows than sets."""
+    rng = random.Random(11)
+    base = [[f"{g}{rng.randrange(10**6)}" for _ in range(200)] for g in "abc"]
+    rows = []
+    for g, words in enumerate(base):
+        for i in range(2000 if g < 2 else 500):
+            now = list(words)
+            if g < 2:
+                now[199 - i % 3] = f"y{i}"
+            else:
+                now[rng.randrange(200)] = f"z{i}"
+            rows.append((g * 10_000 + i, " ".join(now)))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"] // 10_000, r["component_id"]) for r in got} == {(0, 0), (1, 10_000), (2, 20_000)}
+
+
+def test_nothing_stays_in_the_shared_folder(spark, docs):
+    import os
+
+    from granulo.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = {x for x in os.listdir(folder) if "-" in x}
+    near_duplicates.near_duplicates(docs).count()
+    left = {x.rsplit("-", 1)[0] for x in os.listdir(folder) if x not in before and "-" in x and os.path.isdir(f"{folder}/{x}")}
+    assert left <= {"shingle-prefixes", "component-ids"}
