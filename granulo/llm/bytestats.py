@@ -35,5 +35,15 @@ def sums(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(total[bounds])
 
 
-def sums_at(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(at, weights, n)[:n]
+def shifted(values: np.ndarray, k: int, offsets: np.ndarray) -> np.ndarray:
+    """``values`` k places further on in the same text; 0 or False where the text has no such place."""
+    out = np.zeros_like(values)
+    size, n = np.diff(offsets), len(values)
+    if k > 0:
+        out[: max(n - k, 0)] = values[k:]
+    else:
+        out[-k:] = values[: max(n + k, 0)]
+    for d in range(abs(k)):  # the |k| last, or first, places of each text
+        some = size > d
+        out[(offsets[1:][some] - 1 - d) if k > 0 else (offsets[:-1][some] + d)] = 0
+    return out

@@ -18,18 +18,18 @@ from pyspark.sql import functions as F
 
 from granulo.llm import bytestats as B
 from granulo.llm import hashing
-from granulo.llm.common import chunks
-from granulo.llm.labels import remainder, training_rows
+from granulo.llm.common import chunks, in_arrow
+from granulo.llm.labels import remainder, training_rows, within
 
-#: Most labelled documents that are learned from; longer chains than PIECE lines are trained on in pieces.
-MAX_TRAIN, PIECE = 6000, 64
+#: Most labelled documents that are learned from, and lines of theirs; longer chains than PIECE lines are trained on in pieces.
+MAX_TRAIN, MAX_LINES, PIECE = 6000, 400_000, 64
 OWN = 13
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all lines of texts: own features (OWN a line), lengths in bytes, and where each text's lines begin (one more entry).
 
-    A text has one line more than newlines, so an empty text has one empty line.
+    A text has one line more than newlines, so an empty text has one empty line. A line's newline has no length.
     """
     breaks = np.flatnonzero(data == 10)
     before = np.searchsorted(breaks, offsets)
@@ -67,7 +67,9 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         np.minimum(np.bincount(line, length, n) * per, 30) / 10, np.bincount(line, repeat, n) * per, np.bincount(line, length <= 3, n) * per,
         final, letters / solid, (words == 0).astype(float),
     ], 1)
-    return x, np.maximum(size - 1, 0), at
+    size -= 1
+    size[at[1:] - 1] += 1  # a text's last line has no newline
+    return x, size, at
 
 
 def in_context(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -187,11 +189,13 @@ EVERY = Model(np.zeros(OWN), np.ones(OWN), np.r_[np.zeros(3 * OWN), 3.0], np.zer
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learns from labelled documents whose crc32 remainder is not ``held_out``; at most about MAX_TRAIN of them.
+    """Learns from labelled documents whose crc32 remainder is not ``held_out``; at most about MAX_TRAIN of them and MAX_LINES lines.
 
-    The driver receives the line features of the sample, never texts.
+    The driver receives the line features of the sample (52 bytes a line), never texts. Documents are taken whole: where they
+    have too many lines together, those with more than a hundredth of MAX_LINES are not learned from, and fewer of the others.
     """
     rows = training_rows(docs, labels, "quality", remainder(F.col("doc_id"), folds) != held_out, MAX_TRAIN, id_col, text_col)
+    rows = within(rows, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, MAX_LINES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
                 lists = lambda v, width: pa.ListArray.from_arrays(pa.array((at * width).astype(np.int32)), pa.array(v))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("y").slice(first, n), lists(x.astype(np.float32).ravel(), OWN), lists(size, 1)], names=["doc_id", "y", "x", "size"])
 
-    got = rows.select("doc_id", "text", "y").mapInArrow(work, "doc_id long, y int, x array<float>, size array<long>").toArrow().sort_by("doc_id")
+    got = in_arrow(rows.select("doc_id", "text", "y"), work, "doc_id long, y int, x array<float>, size array<long>").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return EVERY
@@ -224,7 +228,7 @@ def score(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1, id_c
             for at, data, offsets in chunks(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(offsets) - 1), pa.array(model.score(data, offsets))], names=["row", "score"])
 
-    out = rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    out = in_arrow(rows, work, f"row {rows.schema['row'].dataType.simpleString()}, score double")
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     if keep is not None:
         return out.select("row", "score", predicted)

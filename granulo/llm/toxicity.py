@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from granulo.llm import bytestats as B
 from granulo.llm import hashing
 from granulo.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from granulo.llm.common import chunks, stable
+from granulo.llm.common import chunks, in_arrow, stable
 from granulo.llm.labels import remainder, training_rows
 
 #: Most labelled rows that are learned from, and most entries that the learned lexicon has.
@@ -82,8 +82,8 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicons: list[Lexicon], pic
     address = _among(h, _ADDRESS)
     seen = np.r_[0, np.cumsum(address)]
     head = np.searchsorted(of, np.arange(n + 1))
-    at = np.arange(len(h))
-    near = hit & (seen[np.minimum(at + CLOSE + 1, head[of + 1])] - seen[np.maximum(at - CLOSE, head[of])] > 0)
+    place = np.arange(len(h))
+    near = hit & (seen[np.minimum(place + CLOSE + 1, head[of + 1])] - seen[np.maximum(place - CLOSE, head[of])] > 0)
     top = np.zeros(n)
     np.maximum.at(top, of[hit], np.maximum(learned, stem)[hit])
 
@@ -91,16 +91,11 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicons: list[Lexicon], pic
     per_byte = 1 / np.maximum(size, 1)
     letter, upper = B.LETTER[data], B.upper_mask(data)
     digit, symbol, blank = B.DIGIT[data], B.SYMBOL[data] | B.PUNCTUATION[data], B.BLANK[data]
-    between = np.zeros(len(data), bool)  # letter, then one digit or mark, then letter
-    if len(data) > 2:
-        between[1:-1] = letter[:-2] & (digit | B.SYMBOL[data])[1:-1] & letter[2:]
-    spaced = np.zeros(len(data), bool)  # a letter by itself between blanks or marks, twice running
-    if len(data) > 4:
-        lone = letter[2:-2] & ~letter[1:-3] & ~letter[3:-1]
-        spaced[2:-2] = lone & (letter[:-4] | letter[4:]) & (data[2:-2] < 128)
-    runs = np.zeros(len(data), bool)
-    if len(data) > 2:
-        runs[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:]
+    at = lambda mask, k: B.shifted(mask, k, offsets)
+    between = at(letter, -1) & (digit | B.SYMBOL[data]) & at(letter, 1)  # letter, then one digit or mark, then letter
+    lone = letter & ~at(letter, -1) & ~at(letter, 1) & (data < 128)
+    spaced = lone & (at(letter, -2) | at(letter, 2))  # a letter by itself with another one two bytes away
+    runs = letter & at(letter, -2) & (data == B.shifted(data, -1, offsets)) & (data == B.shifted(data, -2, offsets))
     shout = data == ord("!")
     sum_of = lambda mask: B.sums(mask, offsets)
     letters = np.maximum(sum_of(letter), 1)
@@ -136,7 +131,7 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     texts without it are counted through the terms that any toxic text has. The best MAX_LEXICON are kept.
     """
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
-    counts = rows.mapInArrow(_count_terms, "term long, a0 long, a1 long, b0 long, b1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")])
+    counts = in_arrow(rows, _count_terms, "term long, a0 long, a1 long, b0 long, b1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")])
     counts = stable(counts.where("b0 + b1 >= 2"))
     found = []
     for halves in ((1,), (0,), (0, 1)):
@@ -181,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
                 x = features(data, offsets, lexicons[:2], half[at : at + n])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), batch.column("y").slice(at, n), batch.column("part").slice(at, n), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "part", "x"])
 
-    got = rows.select("doc_id", "text", "y", "half", "part").mapInArrow(work, "doc_id long, y long, part int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = in_arrow(rows.select("doc_id", "text", "y", "half", "part"), work, "doc_id long, y long, part int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
     y, fit = got["y"].to_numpy(float), got["part"].to_numpy() != 0
     if len(np.unique(y)) < 2:
@@ -212,7 +207,7 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held_out: int = 0, id_c
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, n), pa.array(model.score(data, offsets))], names=["row", "score"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(work, f"row {kind}, score double")
+    out = in_arrow(rows, work, f"row {kind}, score double")
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     if keep is not None:
         return out.select(F.col("row"), "score", predicted)

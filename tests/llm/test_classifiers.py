@@ -60,6 +60,97 @@ def test_scores_do_not_depend_on_batches(docs, labels):
         assert a == b
 
 
+TEXTS = ["", "A,", "ab a.", "you idiot!! st*pid m0ron", "x y z", "Ünder ÀÉ you", "aaa bbbb", "a", "#", "1a2 b", "i d i o t", "end a", ",b", "idi ot\n\nYOU trash", "é", " you", "tra$h!", "wort worte wörter", "a" * 40 + " you"]
+
+
+def plain_features(text, lexicon):
+    """What each feature says, word by word and byte by byte."""
+    import re
+
+    data = text.encode()
+    words = [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", data)]
+    general, address = ({w.encode() for w in x} for x in (toxicity.GENERAL, toxicity.ADDRESS))
+    learned = [lexicon.get(w, 0.0) for w in words]
+    stem = [max([lexicon.get((w[:k], k), 0.0) for k in toxicity.STEMS if len(w) >= k] + [0.0]) for w in words]
+    hit = [w in general or a > 0 or b > 0 for w, a, b in zip(words, learned, stem)]
+    near = sum(h and any(x in address for x in words[max(0, i - 5) : i + 6]) for i, h in enumerate(hit))
+    n, size = max(len(words), 1), max(len(data), 1)
+    letter = lambda i: 0 <= i < len(data) and (chr(data[i]).isascii() and chr(data[i]).isalpha() or data[i] > 127)
+    digit, symbol, mark = (sum(c in cs for c in data) for cs in (b"0123456789", b"#*$%&|<>@^~_=+\\", b".,;:!?'\"()-"))
+    odd = b"0123456789#*$%&|<>@^~_=+\\"
+    upper = sum(65 <= c <= 90 for c in data) + sum(c == 0xC3 and 0x80 <= data[i + 1] <= 0x9E for i, c in enumerate(data[:-1]))
+    between = sum(letter(i - 1) and data[i] in odd and letter(i + 1) for i in range(len(data)))
+    spaced = sum(letter(i) and data[i] < 128 and not letter(i - 1) and not letter(i + 1) and (letter(i - 2) or letter(i + 2)) for i in range(len(data)))
+    runs = sum(i >= 2 and letter(i) and data[i] == data[i - 1] == data[i - 2] for i in range(len(data)))
+    g, k, s, h = sum(w in general for w in words), sum(x > 0 for x in learned), sum(x > 0 for x in stem), sum(hit)
+    top = max([max(a, b) for a, b, x in zip(learned, stem, hit) if x] + [0.0])
+    return [
+        g, g / n, k, sum(learned) / n, s, sum(stem) / n, h, h / n, top, near, near / n, sum(w in address for w in words) / n,
+        upper / max(sum(letter(i) for i in range(len(data))), 1), (symbol + mark) / size, data.count(b"!") / size, digit / size,
+        between / n, spaced / n, runs / n, np.log1p(len(words)),
+    ]
+
+
+def packed(texts):
+    encoded = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(encoded), np.uint8), np.cumsum([0, *map(len, encoded)])
+
+
+def test_features_against_a_plain_version(sf, spark):
+    from granulo.llm import hashing
+
+    texts = TEXTS + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    told = {b"worte": 2.5, b"trash": 3.0, (b"wort", 4): 2.75, (b"tras", 4): 2.4, (b"idiots", 6): 2.6}
+    h = {hashing.one(k.decode()) if isinstance(k, bytes) else int(hashing.mix(np.array([hashing.one(k[0].decode())], np.uint64) + np.uint64(k[1]))[0]): w for k, w in told.items()}
+    keys = np.array(sorted(h), np.uint64)
+    lexicon = toxicity.Lexicon(keys, np.array([h[int(k)] for k in keys]))
+    want = np.array([plain_features(t, told) for t in texts])
+    assert toxicity.features(*packed(texts), [lexicon]) == pytest.approx(want)
+    for t, row in zip(texts, want):  # alone as in a batch
+        assert toxicity.features(*packed([t]), [lexicon])[0] == pytest.approx(row), t
+
+
+def plain_line(line):
+    import re
+
+    data = line.encode()
+    words = re.findall(rb"[^ \t-\r]+", data)
+    n, solid = max(len(words), 1), max(sum(map(len, words)), 1)
+    has = lambda chosen: sum(c in chosen for c in data)
+    letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c > 127 for c in data)
+    upper = sum(65 <= c <= 90 for c in data) + sum(c == 0xC3 and 0x80 <= data[i + 1] <= 0x9E for i, c in enumerate(data[:-1]))
+    fold = [w.lower() for w in words]
+    return [
+        np.log1p(len(words)), upper / max(letters, 1), has(b"0123456789") / solid, min(has(b"#*$%&|<>@^~_=+\\") / n, 5), min(has(b"|") / n, 2), min(has(b"!") / n, 3),
+        min(has(b".,;:!?'\"()-") / n, 3), min(sum(map(len, words)) / n, 30) / 10, sum(a == b for a, b in itertools.pairwise(fold)) / n, sum(len(w) <= 3 for w in words) / n,
+        float(bool(words) and words[-1][-1] in b".!?:;\"')"), letters / solid, float(not words),
+    ]
+
+
+def test_line_features_against_a_plain_version(sf, spark):
+    texts = TEXTS + ["\n", "a\n\nb.", "the the The\n| 1 | 2 |\n"] + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    x, size, at = crf_quality.line_features(*packed(texts))
+    lines = [line for t in texts for line in t.split("\n")]
+    assert size.tolist() == [len(line.encode()) for line in lines]
+    assert at.tolist() == np.cumsum([0, *(t.count("\n") + 1 for t in texts)]).tolist()
+    assert x == pytest.approx(np.array([plain_line(line) for line in lines]))
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    from granulo.llm import labels as L
+
+    docs = spark.createDataFrame([(i % 50, f"line {i}\n" * (i % 7 + 1)) for i in range(400)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
+    rows = L.training_rows(docs, known, "toxic", F.lit(True), 1000)
+    assert rows.count() == 50 == rows.select("doc_id").distinct().count()
+    size = F.length("text")
+    assert L.within(rows, size, 10**9).count() == 50
+    assert L.within(rows, size, 1000).agg(F.max(size)).first()[0] <= 10
+    assert L.within(rows, F.lit(5), 600).count() < 200 // 5 * 4
+    monkeypatch.setattr(crf_quality, "MAX_LINES", 100)
+    assert crf_quality.train(docs, known) is not None
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(0)
     node, step = rng.normal(size=9), rng.normal(size=(2, 2))
@@ -84,7 +175,7 @@ def test_lines():
     texts = ["ab cd\nEF!!\n", "", "x"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     x, size, at = crf_quality.line_features(data, np.cumsum([0, *map(len, texts)]))
-    assert at.tolist() == [0, 3, 4, 5] and len(x) == 5
+    assert at.tolist() == [0, 3, 4, 5] and size.tolist() == [5, 4, 0, 0, 1]
     assert np.expm1(x[:, 0]).round().tolist() == [2, 1, 0, 0, 1]
 
 
