@@ -18,14 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulo.llm.common import parts, shared_path, slices, stable
+from granulo.llm.common import in_arrow, parts, shared_path, slices, stable
 from granulo.llm.pieces import encoder as shared_encoder
 from granulo.llm.pieces import library
 
 #: Ids a sequence, and sequences a batch.
 LENGTH, BATCH = 2048, 64
-#: Pieces in each half of a worker's cache, some 200 bytes each.
-PIECES = 700_000
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long"
 SUFFIX = ".docs"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
@@ -124,7 +122,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
         system, base = opened(folder)
         name = f"{base}/part-{task.partitionId():06d}.arrow"
         attempt = f"{base}/_attempt-{task.taskAttemptId()}.arrow"
-        encoder, writer, sinks, begun, n_docs = shared_encoder(tokenizer, end_id, PIECES), None, [], 0, 0
+        encoder, writer, sinks, begun, n_docs = shared_encoder(tokenizer, end_id), None, [], 0, 0
         for batch in batches:
             for part in slices(batch):
                 if writer is None:
@@ -144,7 +142,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
                 system.move(attempt + suffix, name + suffix)
             yield pa.RecordBatch.from_pydict({"path": [name], "first_id": pa.array([task.partitionId()], pa.int64()), "n_docs": [n_docs], "n_tokens": [begun]})
 
-    return stable(ordered.mapInArrow(work, MANIFEST))
+    return stable(in_arrow(ordered, work, MANIFEST))
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -174,7 +172,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 for s in source:
                     s.close()
 
-    return files.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(files, work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

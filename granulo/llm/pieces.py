@@ -2,7 +2,8 @@
 
 Each split below cuts a text only where its tokenizer never joins what stands on both sides, so the ids of a text are the
 ids of its pieces one after another. The library encodes each piece that a worker meets for the first time, many at once;
-pieces that come again cost a look-up. The cache is emptied when it is full, which changes time and never results.
+pieces that come again cost a look-up. A cache is bounded in bytes and lives for one stage of a worker; what it drops changes
+time and never results.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Most pieces in each of the two halves of a cache, and the longest piece that is kept; one with a newline hardly comes again.
-HALF, KEPT_BYTES = 300_000, 24
+from granulo.llm.common import held
+
+#: Most bytes in each of the two halves of a cache, what an entry costs beside its piece and value, and the longest piece that
+#: is kept; one with a newline hardly comes again.
+HALF_BYTES, ENTRY_BYTES, KEPT_BYTES = 24 << 20, 180, 24
 _SPACES = rb"\t\n\x0b\x0c\r\x1c-\x20"
 #: A space before a blank of any kind, or at the end.
 _BEFORE_BLANK = re.compile(rb" (?:[" + _SPACES + rb"]|$|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
@@ -55,9 +58,10 @@ def split_marked(data: bytes) -> list[bytes]:
 class Pieces(dict):
     """Values by piece, made when first asked for. Two halves: when the newer is full it becomes the older, which is dropped."""
 
-    def __init__(self, make, half: int | None = None):
+    def __init__(self, make, half_bytes: int | None = None):
         super().__init__()
-        self.make, self.half, self.older = make, half or HALF, {}
+        self.make, self.most, self.older = make, half_bytes or HALF_BYTES, {}
+        self.bytes = 0
 
     def __missing__(self, piece: bytes):
         value = self.older.get(piece)
@@ -65,54 +69,62 @@ class Pieces(dict):
             value = self.make(piece)
             if len(piece) > KEPT_BYTES or b"\n" in piece:
                 return value
-        if len(self) >= self.half:
+        if self.bytes >= self.most:
             self.older = dict(self)
             self.clear()
+            self.bytes = 0
+        self.bytes += ENTRY_BYTES + len(piece) + len(value)
         self[piece] = value
         return value
 
 
 class PieceCache:
-    """As ``Pieces``, with many new pieces made at once."""
+    """As ``Pieces``, with many new pieces made at once. Values are tuples whose byte strings count."""
 
-    def __init__(self, make):
+    def __init__(self, make, half_bytes: int | None = None):
         self.make, self.known, self.older = make, {}, {}
+        self.most, self.bytes = half_bytes or HALF_BYTES, 0
 
-    def __call__(self, pieces: list[bytes]) -> dict[bytes, object]:
+    def __call__(self, pieces: list[bytes]) -> dict[bytes, tuple]:
+        """The values of these pieces at least."""
         new = set(pieces) - self.known.keys()
         back = {x: self.older[x] for x in new & self.older.keys()}
         new = list(new - back.keys())
         back.update(zip(new, self.make(new)))
-        if len(self.known) + len(back) > HALF:
-            self.older, self.known = self.known, {}
-            return Layered(back, self.older, self.known)
-        self.known.update((x, v) for x, v in back.items() if len(x) <= KEPT_BYTES)
-        return Layered(back, self.known) if any(len(x) > KEPT_BYTES for x in new) else self.known
+        keep = {x: v for x, v in back.items() if len(x) <= KEPT_BYTES}
+        added = sum(2 * ENTRY_BYTES + len(x) + sum(len(y) for y in v if isinstance(y, bytes)) for x, v in keep.items())
+        if self.bytes + added > self.most:
+            self.older, self.known, self.bytes = self.known, {}, 0
+            out = Layered(back, self.older)
+        else:
+            out = Layered(back, self.known) if len(keep) < len(back) else self.known
+        self.known.update(keep)
+        self.bytes += added
+        return out
 
 
 class Layered(dict):
-    def __init__(self, top: dict, base: dict, keep: dict | None = None):
+    def __init__(self, top: dict, base: dict):
         super().__init__(top)
         self.base = base
-        if keep is not None:
-            keep.update((x, v) for x, v in top.items() if len(x) <= KEPT_BYTES)
 
     def __missing__(self, key):
         return self.base[key]
 
 
-@lru_cache(maxsize=4)
-def library(path: str, threads: int = 1):
-    """The tokenizer of a file, special strings in texts being ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-    os.environ["RAYON_NUM_THREADS"] = str(threads)
-    from tokenizers import Tokenizer
+def library(path: str):
+    """The tokenizer of a file, special strings in texts being ordinary text. One for the tasks of a stage in a worker."""
+
+    def load():
+        from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    t.encode_special_tokens = True
-    return t
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        t.encode_special_tokens = True
+        return t
+
+    return held(("library", path), load)
 
 
 def _splitter(path: str):
@@ -147,10 +159,10 @@ class Encoder:
     goes through the whole library.
     """
 
-    def __init__(self, path: str, end: int | None = None, half: int = HALF):
+    def __init__(self, path: str, end: int | None = None, half_bytes: int | None = None):
         self.tokenizer, self.split = library(path), _splitter(path)
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
-        self.plain, self.spaced = Pieces(self._ids, half), Pieces(self._spaced, half)
+        self.plain, self.spaced = Pieces(self._ids, half_bytes), Pieces(self._spaced, half_bytes)
         self.model, self.shown = self.tokenizer.model, byte_characters()
         self.space = chr(self.shown[32])
         self.lower = self.split is split_blank
@@ -201,48 +213,44 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, end: int | None = None, half: int = HALF) -> Encoder:
-    """The encoder that all tasks of a worker share."""
-    return Encoder(path, end, half)
+def encoder(path: str, end: int | None = None) -> Encoder:
+    """The encoder that a worker's tasks of one stage share."""
+    return held(("encoder", path, end), lambda: Encoder(path, end))
 
 
 class SpanEncoder:
-    """For whole texts: how many tokens each has, and every token's first and one past its last code point in its text."""
+    """For whole texts: how many tokens each has, and every token's first and one past its last code point in its text.
+
+    A byte-level vocabulary says how many bytes each id stands for, so the ids of a text tell where its tokens are; a token that
+    begins or ends inside a character has all of it, as the library's offsets do. Other tokenizers encode whole texts in the
+    library, many at once.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.cuts = library(path), _splitter(path) is split_byte_level
-        self.known = Pieces(self._make)
+        self.encoder = Encoder(path)
+        self.sizes = None
+        if self.encoder.split is split_byte_level:
+            vocabulary = self.encoder.tokenizer.get_vocab()
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.sizes[i] = len(token)  # one character stands for each byte
 
-    def _pieces(self, data: bytes) -> list[bytes]:
-        if not self.cuts:
-            return [data] if data else []
-        lead, rest = split_byte_level(data) if data else ([], [])
-        return lead + [b" " + x for x in rest]
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.sizes is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            found = self.encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+            spans = np.array([s for e in found for s in e.offsets], np.int64).reshape(-1, 2)
+            return np.array([len(e.ids) for e in found], np.int64), spans[:, 0], spans[:, 1]
+        ids = self.encoder(texts)
+        counts = np.array([len(x) // 4 for x in ids], np.int64)
+        size = self.sizes[np.frombuffer(b"".join(ids), "<u4")]
+        last = np.cumsum(size)
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        character = np.cumsum((data & 0xC0) != 0x80) - 1  # of each byte, over all texts
+        chars = np.array([len(t) for t in texts], np.int64)
+        base = np.repeat(np.cumsum(chars) - chars, counts)
+        return counts, character[last - size] - base, character[last - 1] + 1 - base
 
-    def _make(self, piece: bytes) -> tuple[bytes, bytes, int, int]:
-        text = piece.decode()
-        spans = np.array(self.tokenizer.encode(text, None, False, False).offsets, "<i4").reshape(-1, 2)
-        return spans[:, 0].tobytes(), spans[:, 1].tobytes(), len(text), len(spans)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        split = [self._pieces(t.encode()) for t in texts]
-        get = self.known.__getitem__
-        found = [v for s in split for v in map(get, s)]
-        begin = np.frombuffer(b"".join([f[0] for f in found]), "<i4").astype(np.int64)
-        end = np.frombuffer(b"".join([f[1] for f in found]), "<i4").astype(np.int64)
-        chars = np.array([f[2] for f in found], np.int64)
-        counts = np.array([f[3] for f in found], np.int64)
-        of = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-        before = np.cumsum(chars) - chars
-        text_base = np.zeros(len(texts), np.int64)
-        if len(of):
-            heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            text_base[of[heads]] = before[heads]
-        shift = np.repeat(before - text_base[of], counts)
-        return np.bincount(of, counts, len(texts)).astype(np.int64), begin + shift, end + shift
-
-
-@lru_cache(maxsize=4)
 def span_encoder(path: str) -> SpanEncoder:
-    return SpanEncoder(path)
+    return held(("spans", path), lambda: SpanEncoder(path))

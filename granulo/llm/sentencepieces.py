@@ -1,24 +1,24 @@
 """SentencePiece models on the tokenizers library.
 
 The model file is parsed as a protocol buffer; its normaliser, space marker, piece scores and byte fallback are rebuilt
-there. Every piece of text that a worker meets for the first time is also encoded by the sentencepiece library: ``parity``
-tells whether both agreed on all pieces of a document. Where they should not, the sentencepiece ids are used.
+there, and its ids are the result. Every piece of text that a worker meets for the first time is also encoded by the sentencepiece
+library: ``parity`` tells whether both agreed on all pieces of a document.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulo.llm.common import slices
+from granulo.llm.common import held, in_arrow, slices
 from granulo.llm.pieces import PieceCache, split_marked
 
 MARK = "▁"
@@ -126,36 +126,42 @@ def build(m: Model, whole: bool):
     return t
 
 
-@lru_cache(maxsize=2)
-def _loaded(path: str, threads: int):
-    import os
-
+def _loaded(path: str):
     import sentencepiece
 
-    os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true" if threads > 1 else "false", str(threads)
     with open(path, "rb") as f:
         m = parse(f.read())
     return m, build(m, True), build(m, False), sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def threaded(threads: int) -> None:
+    """Lets the library encode batches on several threads. It reads the switch at every batch, the number when its pool starts.
+
+    Nothing else in this package starts the pool, so the first number that a worker gives holds there.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+
+
 class Codec:
     """Encodes and decodes texts; ``threads`` encode each batch of new pieces."""
 
     def __init__(self, path: str, threads: int = 2):
-        self.model, self.whole, self.part, self.judge = _loaded(path, threads)
-        self.cache = PieceCache(self._make)
+        self.model, self.whole, self.part, self.judge = _loaded(path)
+        self.threads, self.cache = threads, PieceCache(self._make)
 
     def _make(self, pieces: list[bytes]) -> list[tuple[bytes, bytes, bool]]:
         cut = self.model.splits
         engine = self.part if cut else self.whole
         out = []
+        threaded(self.threads)
         for i in range(0, len(pieces), 4096):
             texts = [x.decode() for x in pieces[i : i + 4096]]
             ours = [e.ids for e in engine.encode_batch_fast(texts, add_special_tokens=False)]
-            theirs = self.judge.encode([x[1:] for x in texts] if cut else texts, num_threads=1)
-            theirs = [b or a for a, b in zip(ours, theirs)]  # the library gives an empty text no marker
-            for a, b, back in zip(ours, theirs, engine.decode_batch(theirs, skip_special_tokens=False)):
-                out.append((np.array(b, "<u4").tobytes(), back.encode(), a == b))
+            bare = [x[1:] for x in texts] if cut else texts
+            theirs = self.judge.encode(bare, num_threads=1)
+            for x, a, b, back in zip(bare, ours, theirs, engine.decode_batch(ours, skip_special_tokens=False)):
+                out.append((np.array(a, "<u4").tobytes(), back.encode(), a == b or not x))  # it gives an empty text no marker
         return out
 
     def __call__(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes], list[bool]]:
@@ -179,10 +185,9 @@ class Codec:
         return ids, back, same
 
 
-@lru_cache(maxsize=2)
 def shared_codec(path: str, threads: int) -> Codec:
-    """The codec that all tasks of a worker share."""
-    return Codec(path, threads)
+    """The codec that a worker's tasks of one stage share."""
+    return held(("codec", path, threads), lambda: Codec(path, threads))
 
 
 SCHEMA = "doc_id long, ids binary, decoded string, round_trip boolean, parity boolean"
@@ -191,8 +196,9 @@ SCHEMA = "doc_id long, ids binary, decoded string, round_trip boolean, parity bo
 def encode_and_decode(docs: DataFrame, model: str, threads: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """Whole texts encoded, and decoded again (SCHEMA; without ``keep`` the checksums stand for ids and decoded text).
 
-    ``round_trip``: the decoded text is the text. Null and empty texts have no ids and decode to the empty text. Repeated
-    rows are encoded again each; null ids are kept; other columns are not read. No shuffle.
+    ``round_trip``: the decoded text is the text. ``parity``: the sentencepiece library gives the same ids, text for text; its
+    ids are never returned. Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded again
+    each; null ids are kept; other columns are not read. No shuffle.
     """
     schema = SCHEMA if keep else "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, parity boolean"
 
@@ -209,16 +215,16 @@ def encode_and_decode(docs: DataFrame, model: str, threads: int = 2, id_col: str
                     sums = [pa.array([f(x) for x in xs], pa.int64()) for f, xs in ((lambda x: len(x) // 4, ids), (zlib.crc32, ids), (zlib.crc32, back))]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *sums, pa.array(trip), pa.array(same)], names=["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip", "parity"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, schema)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
     """``rows`` (``doc_id, ids``) decoded: ``doc_id, decoded``. A null or empty list of ids decodes to the empty text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = _loaded(model, 2)[1]
+        engine = held(("loaded", model), lambda: _loaded(model))[1]
         for batch in batches:
             ids = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(engine.decode_batch(ids, skip_special_tokens=False), pa.string())], names=["doc_id", "decoded"])
 
-    return rows.select("doc_id", "ids").mapInArrow(work, "doc_id long, decoded string")
+    return in_arrow(rows.select("doc_id", "ids"), work, "doc_id long, decoded string")

@@ -1,7 +1,8 @@
 """Token counts of sections by offset-mapped attribution.
 
-Each document is encoded once as a whole. Its tokens' character spans are joined with its sections' spans, both being
-sorted, and a token that crosses a border is allocated by a rule:
+The ids of a whole document are made once, from pieces that its tokenizer never joins (``pieces``), and give its tokens'
+character spans. These are joined with its sections' spans, both being sorted, and a token that crosses a border is allocated by
+a rule:
 
 ``first``    to the section that holds its first character,
 ``largest``  to the section that holds most of its characters, the earlier one at a tie,
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulo.llm.common import slices
+from granulo.llm.common import in_arrow, slices
 from granulo.llm.pieces import span_encoder
 
 SCHEMA = "doc_id long, section int, start_char long, end_char long, tokens_first long, tokens_largest long, tokens_shared double, doc_tokens long"
@@ -89,4 +90,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, sections: Callable[[str], list
                     "tokens_first": first.astype(np.int64), "tokens_largest": largest.astype(np.int64), "tokens_shared": shared, "doc_tokens": counts[owner],
                 })
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, SCHEMA)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, SCHEMA)
