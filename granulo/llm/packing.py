@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granulo.llm import hashing
-from granulo.llm.common import chunks, parts, slices
+from granulo.llm.common import chunks, in_arrow, parts, slices
 from granulo.llm.pieces import encoder as shared_encoder
 
 DIMS, BITS = 4, 8
-#: Documents from whose places the ranges are set.
-SAMPLE = 20_000
+#: Bytes of text that a range aims at, and documents from whose places ranges are set: so many for each, within bounds.
+RANGE_BYTES, EACH, LEAST, MOST = 64 << 20, 20, 20_000, 2_000_000
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -81,16 +81,19 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boun
 
     text = F.col(text_col).cast("string")
     tie = F.xxhash64(F.col(id_col).cast("long"), F.crc32(text)).bitwiseAND(0x7FFFFFFF)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), tie.alias("tie")).mapInArrow(work, "doc_id long, text string, place long, part int")
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), tie.alias("tie")), work, "doc_id long, text string, place long, part int")
 
 
-def curve_ranges(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Bounds that cut the curve into ``n`` ranges of about as many documents, from about SAMPLE of them chosen by hash.
+def curve_ranges(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Bounds that cut the curve into ranges of about as many documents: ``least`` at least, and one for each RANGE_BYTES of text.
 
-    They decide balance and where ranges end, never which documents are packed.
+    They are set by EACH documents a range, chosen by hash, LEAST at least and MOST at most, which bounds what the driver receives (eight
+    bytes a document). They decide balance and where ranges end, never which documents are packed.
     """
-    total = docs.count()
-    few = docs if total <= SAMPLE else docs.where(F.pmod(F.xxhash64(F.lit(17), F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()
+    n = max(least, -(-size // RANGE_BYTES))
+    want = min(max(LEAST, EACH * n), MOST)
+    few = docs if total <= want else docs.where(F.pmod(F.xxhash64(F.lit(17), F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * want / total))
     places = np.sort(placed(few, id_col, text_col).select("place").toArrow()["place"].to_numpy())
     return np.unique(places[(np.arange(1, n) * len(places)) // n]) if len(places) else np.empty(0, np.int64)
 
@@ -158,9 +161,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_
     empty one does. Repeated rows are packed again each, null ids are kept, other columns are not read. No rows give none.
     """
     spark = docs.sparkSession
-    n = parts(spark)
-    rows = placed(docs, id_col, text_col, curve_ranges(docs, n, id_col, text_col))
-    ordered = rows.repartitionById(n, "part").sortWithinPartitions("place", "doc_id")
+    bounds = curve_ranges(docs, parts(spark), id_col, text_col)
+    rows = placed(docs, id_col, text_col, bounds)
+    ordered = rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("place", "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer, end_id)
@@ -175,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_
         if rows := layout.taken():
             yield _batch(rows)
 
-    return ordered.select("doc_id", "text").mapInArrow(work, PIECE_SCHEMA)
+    return in_arrow(ordered.select("doc_id", "text"), work, PIECE_SCHEMA)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
