@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granulo.llm.common import parts, slices
+from granulo.llm.common import in_arrow, parts, slices
 from granulo.llm.hashing import mix
 
 SLOTS = 64
@@ -170,19 +170,28 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 marks = [as_text(r, s) for r, s in zip(roots.tolist(), slots)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(marks, pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, n_chars long, fingerprint string")
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, n_chars long, fingerprint string")
+
+
+#: Rows from whose keys the partitions' bounds are set.
+SAMPLE = 20_000
 
 
 def in_order(rows: DataFrame, key: Column, tie: Column, n: int) -> DataFrame:
     """``rows`` in descending order of (key, tie) over ``n`` partitions, each followed by the row that comes next (``look`` 1).
 
-    The last partition is followed by the very first row. Bounds are quantiles of the key; the driver receives them and each
-    partition's first (key, tie), some numbers a partition.
+    The last partition is followed by the very first row. Bounds are quantiles of (key, tie) among about SAMPLE rows, so that rows of one
+    key spread by their ties; the driver receives those and each partition's first (key, tie), some numbers a partition.
     """
     rows = rows.withColumns({"k": key, "t": tie})
-    cuts = rows.approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    rows = rows.withColumn("part", F.size(F.filter(bounds, lambda b: b > F.col("k"))))
+    total = rows.count() if n > 1 else 0
+    cuts = []
+    if total:
+        seen = sorted(map(tuple, rows.select("k", "t").sample(False, min(1.0, SAMPLE / total), 17).collect()))
+        cuts = sorted({seen[i * len(seen) // n] for i in range(1, n)}) if seen else []
+    pair = "array<struct<k:bigint,t:bigint>>"
+    bounds = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t")) for k, t in cuts]).cast(pair) if cuts else F.array().cast(pair)
+    rows = rows.withColumn("part", F.size(F.filter(bounds, lambda b: b > F.struct("k", "t"))))
     heads = sorted(rows.groupBy("part").agg(F.max(F.struct("k", "t")).alias("h")).select("part", "h.k", "h.t").collect())
     if not heads:
         return rows.withColumn("look", F.lit(0))
@@ -241,4 +250,4 @@ def against_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     pa.array(likeness(own, new_slots)), pa.array(likeness(own, next_)),
                 ], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return ordered.select("doc_id", "text", "look").mapInArrow(work, SCHEMA)
+    return in_arrow(ordered.select("doc_id", "text", "look"), work, SCHEMA)
