@@ -292,8 +292,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
+def to_pcm(x: np.ndarray) -> np.ndarray:
+    """Clamped to one, scaled by 32767 and cut towards zero."""
+    return np.trunc(np.clip(x, -1, 1) * 32767).astype(np.int16)
+
+
 def _pcm(x: np.ndarray) -> pa.ListArray:
-    return _lists(np.trunc(np.clip(x, -1, 1) * 32767).astype(np.int16))
+    return _lists(to_pcm(x))
+
+
+def granule_halves(frame: int, data: bytes, view: bytes | None) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(ch, granule, head, tail)`` of one frame's granules in order, as ``spectra`` has them."""
+    batch = pa.RecordBatch.from_pydict({"path": pa.array([""]), "frame": pa.array([frame]), "pts": pa.array([0]), "data": pa.array([data], pa.binary()), "view": pa.array([view], pa.binary())})
+    out = _spectra_of(batch)
+    head, tail = _matrix(out.column("head")), _matrix(out.column("tail"))
+    return list(zip(out.column("ch").to_pylist(), out.column("granule").to_pylist(), head, tail))
 
 
 def synthesize(subbands: DataFrame, window: list[float] | None = None) -> DataFrame:

@@ -60,6 +60,21 @@ class Options:
         if self.model not in (0, 1, 2):
             raise ValueError("model is 0, 1 or 2")
 
+    @classmethod
+    def of(cls, sample_rate: int, channels: int, options: dict[str, str]) -> Options:
+        """From the names and texts of an encoder's options; ``vbr_quality`` wins over ``cbr_bitrate_kbps``, and other names are an error.
+
+        Where they say nothing, both stereo modes, short blocks and model 1 hold.
+        """
+        flags = {"joint_stereo": "joint", "intensity_stereo": "intensity", "short_blocks": "short"}
+        numbers = {"vbr_quality": "quality", "cbr_bitrate_kbps": "kbps", "psy_model": "model"}
+        if unknown := options.keys() - flags.keys() - numbers.keys():
+            raise ValueError(f"no option {', '.join(sorted(unknown))}")
+        given = {flags.get(k) or numbers[k]: int(v) != 0 if k in flags else int(v) for k, v in options.items()}
+        if "quality" in given or not given.get("kbps"):
+            given.pop("kbps", None)
+        return cls(sample_rate, channels, **{"intensity": True, "model": 1} | given)
+
     @property
     def mpeg1(self) -> bool:
         return self.sample_rate in SAMPLE_RATES

@@ -238,7 +238,7 @@ def probe_score(content: Column, extension: Column) -> Column:
         F.when((F.length(head) >= 20) & (F.substring(head, 1, 6) == "494433"), 100)
         .when(ok(F.lit(0)), 75)
         .when(some, 50)
-        .when(F.lower(extension).isin("mp1", "mp2", "mp3"), 25)
+        .when(F.lower(extension).isin(*EXTENSIONS), 25)
         .otherwise(0)
     )
 
@@ -308,6 +308,20 @@ class CodedAudio(DataSource):
         return _Reader(self.options)
 
 
-def register(spark: SparkSession) -> None:
-    """Makes the source known by name."""
+#: What the formats are and can: file extensions and codec ids, the container tag, and the encoder's limits.
+EXTENSIONS, CODECS, CONTAINER_TAG = ("mp1", "mp2", "mp3"), ("mp1", "mp2", "mp3"), 0x0055
+CAPABILITIES = {"lossy": True, "intra_only": False, "max_channels": 2, "max_sample_rate": 48_000}
+
+
+def audio_files(spark: SparkSession, path: str) -> DataFrame:
+    """``binary_files`` whose name has a known extension; the names are filtered before anything is read."""
+    pattern = "*.{" + ",".join(x for e in EXTENSIONS for x in (e, e.upper())) + "}"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content")
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Makes the source and the SQL functions known by name; returns the names."""
+    from granulo.functions import sql
+
     spark.dataSource.register(CodedAudio)
+    return [CodedAudio.name(), *sql.register(spark)]

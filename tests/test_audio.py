@@ -76,7 +76,10 @@ def test_truncated_tag_gives_none():
 
 def test_data_source(spark, tmp_path):
     (tmp_path / "x.mp3").write_bytes(frame(SILENT_MONO) * 3)
-    S.register(spark)
+    assert {"coded_audio", "audio_frames", "audio_kbps"} <= set(S.register(spark))
+    (tmp_path / "notes.txt").write_text("no audio")
+    assert [r["path"].split("/")[-1] for r in S.audio_files(spark, str(tmp_path)).collect()] == ["x.mp3"]
+    (tmp_path / "notes.txt").unlink()
     assert spark.read.format("coded_audio").load(str(tmp_path)).count() == 3
     streams = spark.read.format("coded_audio").option("table", "streams")
     assert streams.load(str(tmp_path)).first()["codec"] == "mp3"

@@ -221,6 +221,16 @@ def test_options(bad):
         E.Options(**bad)
 
 
+def test_options_by_name():
+    o = E.Options.of(44100, 2, {"cbr_bitrate_kbps": "128", "intensity_stereo": "1", "short_blocks": "0", "psy_model": "1"})
+    assert (o.kbps, o.intensity, o.short, o.joint, o.model) == (128, True, False, True, 1)
+    assert E.Options.of(44100, 1, {"vbr_quality": "2", "cbr_bitrate_kbps": "128"}) == E.Options(quality=2, intensity=True, model=1)
+    assert E.Options.of(44100, 1, {"cbr_bitrate_kbps": "0"}).kbps is None
+    for bad in ({"vbr_quality": "10"}, {"speed": "1"}, {"psy_model": "3"}):
+        with pytest.raises(ValueError):
+            E.Options.of(44100, 1, bad)
+
+
 def test_analysis_shape(spark):
     pcm = spark.createDataFrame([("a", 0, g, [int(3000 * np.sin(0.15 * (576 * g + i))) for i in range(576)]) for g in range(3)], "path string, ch int, granule long, pcm array<smallint>")
     rows = E.analyze(pcm).orderBy("granule").collect()

@@ -51,6 +51,26 @@ def test_reservoir_as_in_batch(spark, tmp_path, rocks):
     assert got == {i: bytearray(data[100 * i - back : 100 * i + 100]) if back <= min(100 * i, 511) else None for _, i, back, _ in rows}
 
 
+def test_pcm_as_in_batch(spark, tmp_path, rocks):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from granulo.plans import decode as D
+    from granulo.plans import encode as E
+
+    rng = np.random.default_rng(3)
+    rows = [(p, c, g, rng.integers(-3000, 3000, 576).tolist()) for p in "ab" for c in range(2) for g in range(8)]
+    coded = E.encode(spark.createDataFrame(rows, "path string, ch int, granule long, pcm array<smallint>"), E.Options(44100, 2, 96)).select("path", "frame", "data").orderBy("frame").collect()
+    schema = "path string, frame long, data binary"
+    for i in range(0, len(coded), 3):
+        spark.createDataFrame(coded[i : i + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = {(r["path"], r["ch"], r["granule"]): r["pcm"] for r in run(spark, stateful.pcm(stream), "pcm", tmp_path).collect()}
+    whole = spark.createDataFrame(coded, schema).withColumn("pts", F.lit(0).cast("long"))
+    want = {(r["path"], r["ch"], r["granule"]): r["pcm"] for r in D.pcm(whole).collect()}
+    assert len(want) == 32 and got == want and any(any(x) for x in want.values())
+
+
 def test_file_stream(spark, tmp_path):
     from tests.test_audio import SILENT_MONO, frame
 
