@@ -28,11 +28,19 @@ def upper_mask(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes that are summed, or masked, at a time: what a long text takes beside its masks does not grow with it.
+SEGMENT = 1 << 20
+
+
 def sums(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How often ``mask`` holds between consecutive ``bounds``."""
-    total = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=total[1:])
-    return np.diff(total[bounds])
+    out = np.zeros(max(len(bounds) - 1, 0), np.int64)
+    for start in range(0, len(mask), SEGMENT):
+        part = mask[start : start + SEGMENT]
+        total = np.zeros(len(part) + 1, np.int64)
+        np.cumsum(part, out=total[1:])
+        out += np.diff(total[np.clip(bounds - start, 0, len(part))])
+    return out
 
 
 def shifted(values: np.ndarray, k: int, offsets: np.ndarray) -> np.ndarray:

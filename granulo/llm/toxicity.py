@@ -87,26 +87,37 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicons: list[Lexicon], pic
     top = np.zeros(n)
     np.maximum.at(top, of[hit], np.maximum(learned, stem)[hit])
 
-    size = np.diff(offsets)
-    per_byte = 1 / np.maximum(size, 1)
-    letter, upper = B.LETTER[data], B.upper_mask(data)
-    digit, symbol, blank = B.DIGIT[data], B.SYMBOL[data] | B.PUNCTUATION[data], B.BLANK[data]
-    at = lambda mask, k: B.shifted(mask, k, offsets)
-    between = at(letter, -1) & (digit | B.SYMBOL[data]) & at(letter, 1)  # letter, then one digit or mark, then letter
-    lone = letter & ~at(letter, -1) & ~at(letter, 1) & (data < 128)
-    spaced = lone & (at(letter, -2) | at(letter, 2))  # a letter by itself with another one two bytes away
-    runs = letter & at(letter, -2) & (data == B.shifted(data, -1, offsets)) & (data == B.shifted(data, -2, offsets))
-    shout = data == ord("!")
-    sum_of = lambda mask: B.sums(mask, offsets)
-    letters = np.maximum(sum_of(letter), 1)
+    bytes_ = _byte_counts(data, offsets)
+    per_byte, letters = 1 / np.maximum(np.diff(offsets), 1), np.maximum(bytes_["letter"], 1)
     return np.stack([
         count(general), count(general) * per_word, count(learned > 0), count(learned) * per_word, count(stem > 0), count(stem) * per_word,
         count(hit), count(hit) * per_word, top, count(near), count(near) * per_word, count(address) * per_word,
-        sum_of(upper) / letters, sum_of(symbol) * per_byte, sum_of(shout) * per_byte, sum_of(digit) * per_byte,
-        sum_of(between) * per_word, sum_of(spaced) * per_word, sum_of(runs) * per_word, np.log1p(words),
+        bytes_["upper"] / letters, bytes_["symbol"] * per_byte, bytes_["shout"] * per_byte, bytes_["digit"] * per_byte,
+        bytes_["between"] * per_word, bytes_["spaced"] * per_word, bytes_["runs"] * per_word, np.log1p(words),
     ], 1)
 
 
+def _byte_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """How many bytes of each text are of each kind, a segment at a time with the two bytes on either side of it."""
+    out = {n: np.zeros(len(offsets) - 1, np.int64) for n in ("letter", "upper", "symbol", "shout", "digit", "between", "spaced", "runs")}
+    for start in range(0, len(data), B.SEGMENT):
+        stop = min(start + B.SEGMENT, len(data))
+        low = max(start - 2, 0)
+        part = data[low : stop + 2]
+        at = lambda mask, k: B.shifted(mask, k, np.clip(offsets - low, 0, len(part)))  # noqa: B023, E731
+        letter, digit = B.LETTER[part], B.DIGIT[part]
+        lone = letter & ~at(letter, -1) & ~at(letter, 1) & (part < 128)
+        masks = {
+            "letter": letter, "upper": B.upper_mask(part), "symbol": B.SYMBOL[part] | B.PUNCTUATION[part], "shout": part == ord("!"), "digit": digit,
+            "between": at(letter, -1) & (digit | B.SYMBOL[part]) & at(letter, 1),  # letter, then one digit or mark, then letter
+            "spaced": lone & (at(letter, -2) | at(letter, 2)),  # a letter by itself with another one two bytes away
+            "runs": letter & at(letter, -2) & (part == at(part, -1)) & (part == at(part, -2)),
+        }
+        for name, mask in masks.items():
+            out[name] += B.sums(mask[start - low : stop - low], np.clip(offsets, start, stop) - start)
+    return out
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows ``text, y, half``: for each word or beginning of a text, in how many texts of each label and half it is."""
     for batch in batches:

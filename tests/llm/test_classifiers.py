@@ -96,10 +96,13 @@ def packed(texts):
     return np.frombuffer(b"".join(encoded), np.uint8), np.cumsum([0, *map(len, encoded)])
 
 
-def test_features_against_a_plain_version(sf, spark):
-    from granulo.llm import hashing
+@pytest.mark.parametrize("segment", [1 << 20, 7])
+def test_features_against_a_plain_version(sf, spark, segment, monkeypatch):
+    from granulo.llm import bytestats, hashing
 
-    texts = TEXTS + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    monkeypatch.setattr(bytestats, "SEGMENT", segment)
+
+    texts = TEXTS + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][: 200 if segment > 7 else 3]
     told = {b"worte": 2.5, b"trash": 3.0, (b"wort", 4): 2.75, (b"tras", 4): 2.4, (b"idiots", 6): 2.6}
     h = {hashing.one(k.decode()) if isinstance(k, bytes) else int(hashing.mix(np.array([hashing.one(k[0].decode())], np.uint64) + np.uint64(k[1]))[0]): w for k, w in told.items()}
     keys = np.array(sorted(h), np.uint64)
