@@ -24,6 +24,8 @@ from granulo.llm.pieces import library
 
 #: Ids a sequence, and sequences a batch.
 LENGTH, BATCH = 2048, 64
+#: Bytes in each half of a worker's two piece caches.
+PIECE_BYTES = 96 << 20
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long"
 SUFFIX = ".docs"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
@@ -122,7 +124,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
         system, base = opened(folder)
         name = f"{base}/part-{task.partitionId():06d}.arrow"
         attempt = f"{base}/_attempt-{task.taskAttemptId()}.arrow"
-        encoder, writer, sinks, begun, n_docs = shared_encoder(tokenizer, end_id), None, [], 0, 0
+        encoder, writer, sinks, begun, n_docs = shared_encoder(tokenizer, end_id, PIECE_BYTES), None, [], 0, 0
         for batch in batches:
             for part in slices(batch):
                 if writer is None:

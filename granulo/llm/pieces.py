@@ -213,9 +213,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str, end: int | None = None) -> Encoder:
+def encoder(path: str, end: int | None = None, half_bytes: int | None = None) -> Encoder:
     """The encoder that a worker's tasks of one stage share."""
-    return held(("encoder", path, end), lambda: Encoder(path, end))
+    return held(("encoder", path, end), lambda: Encoder(path, end, half_bytes))
 
 
 class SpanEncoder:
