@@ -118,32 +118,42 @@ def _byte_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     return out
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``text, y, half``: for each word or beginning of a text, in how many texts of each label and half it is."""
-    for batch in batches:
-        y, half = batch.column("y").to_numpy(), batch.column("half").to_numpy()
-        for at, data, offsets in chunks(batch.column("text")):
-            h, stems, of, _ = _terms(data, offsets)
-            every = np.concatenate([h, *stems])
-            texts = np.tile(of, 1 + len(stems))
-            every, texts = every[every != 0], texts[every != 0]
-            pair = np.unique(np.stack([every, texts.astype(np.uint64)]), axis=1) if len(every) else np.empty((2, 0), np.uint64)
-            rows = pair[1].astype(np.int64) + at
-            term, of_term = np.unique(pair[0], return_inverse=True)
-            cells = [np.bincount(of_term, (y[rows] == a) & (half[rows] == b), len(term)).astype(np.int64) for a in (0, 1) for b in (0, 1)]
-            keep = cells[2] + cells[3] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (term.view(np.int64), *cells)], names=["term", "a0", "a1", "b0", "b1"])
+def _count_terms(among: np.ndarray | None):
+    """Over rows ``text, half``: for each word or beginning of a text (of the sorted hashes ``among``, if given), in how many texts of each half it is."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = batch.column("half").to_numpy()
+            for at, data, offsets in chunks(batch.column("text")):
+                h, stems, of, _ = _terms(data, offsets)
+                every, texts = np.concatenate([h, *stems]), np.tile(of, 1 + len(stems))
+                use = every != 0 if among is None else _among(every, among) if len(among) else np.zeros(len(every), bool)
+                every, texts = every[use], texts[use]
+                pair = np.unique(np.stack([every, texts.astype(np.uint64)]), axis=1) if len(every) else np.empty((2, 0), np.uint64)
+                rows = pair[1].astype(np.int64) + at
+                term, of_term = np.unique(pair[0], return_inverse=True)
+                cells = [np.bincount(of_term, half[rows] == b, len(term)).astype(np.int64) for b in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (term.view(np.int64), *cells)], names=["term", "c0", "c1"])
+
+    return work
 
 
 def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     """From ``text, y, half``: what half 1 teaches, what half 0 teaches, and what all teach.
 
-    An entry is in three toxic texts at least (two of a half) and at least ten times as likely there, where the
-    texts without it are counted through the terms that any toxic text has. The best MAX_LEXICON are kept.
+    An entry is in three toxic texts at least (two of a half) and at least ten times as likely there as in clean ones. Terms of two toxic
+    texts or more are known first (their hashes go to the driver and back, 8 bytes each, bounded by the sample); clean texts are counted
+    for those. The best MAX_LEXICON are kept.
     """
     sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
-    counts = in_arrow(rows, _count_terms, "term long, a0 long, a1 long, b0 long, b1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")])
-    counts = stable(counts.where("b0 + b1 >= 2"))
+
+    def counted(y: int, among: np.ndarray | None, name: str) -> DataFrame:
+        found = in_arrow(rows.where(F.col("y") == y).select("text", "half"), _count_terms(among), "term long, c0 long, c1 long")
+        return found.groupBy("term").agg(F.sum("c0").alias(f"{name}0"), F.sum("c1").alias(f"{name}1"))
+
+    toxic_terms = stable(counted(1, None, "b").where("b0 + b1 >= 2"))
+    known = np.sort(toxic_terms.select("term").toArrow()["term"].to_numpy().view(np.uint64))
+    counts = stable(toxic_terms.join(counted(0, known, "a"), "term", "left").fillna(0, ["a0", "a1"]))
     found = []
     for halves in ((1,), (0,), (0, 1)):
         clean, toxic = (sum(F.col(f"{c}{i}") for i in halves) for c in "ab")

@@ -53,6 +53,17 @@ def test_edges(docs, rows, empty, labels, module):
     assert module.digest(docs, odd).count() == len(rows)
 
 
+def test_lexicons_count_all_texts_whatever_the_batches(spark):
+    """A word of every clean text is no entry, also where its toxic texts come in other batches."""
+    rows = [(f"nasty w{i} common word", 1, i % 2) for i in range(40)] + [(f"nice common v{i} word", 0, i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "text string, y long, half long")
+    a, b = ([(x.hashes.tolist(), x.weights.round(9).tolist()) for x in toxicity.learn_lexicons(d)] for d in (df.coalesce(1), df.repartition(23)))
+    assert a == b
+    from granulo.llm import hashing
+
+    assert all(hashing.one("nasty") in h and hashing.one("common") not in h for h, _ in a)
+
+
 def test_scores_do_not_depend_on_batches(docs, labels):
     for module in (crf_quality, toxicity):
         model = module.train(docs, labels)
