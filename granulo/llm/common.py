@@ -61,7 +61,7 @@ def in_arrow(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
     """
     conf = rows.sparkSession.conf
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name).removesuffix("b") == str(64 << 20):
+    if conf.get(name, f"{64 << 20}b").removesuffix("b") == str(64 << 20):
         conf.set(name, f"{BATCH_BYTES}b")
     return rows.mapInArrow(worker(work), schema)
 

@@ -22,6 +22,8 @@ from granulo.llm.pieces import encoder as shared_encoder
 DIMS, BITS = 4, 8
 #: Bytes of text that a range aims at, and documents from whose places ranges are set: so many for each, within bounds.
 RANGE_BYTES, EACH, LEAST, MOST = 64 << 20, 20, 20_000, 2_000_000
+#: Bytes in each half of a worker's piece cache.
+PIECE_BYTES = 48 << 20
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -166,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_
     ordered = rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("place", "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer, end_id)
+        encoder = shared_encoder(tokenizer, end_id, PIECE_BYTES)
         layout = Layout(TaskContext.get().partitionId() << 40, size)
         for batch in batches:
             for part in slices(batch):

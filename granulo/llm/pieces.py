@@ -79,37 +79,30 @@ class Pieces(dict):
 
 
 class PieceCache:
-    """As ``Pieces``, with many new pieces made at once. Values are tuples whose byte strings count."""
+    """As ``Pieces``, with many new pieces made at once. An entry counts 480 bytes: two byte strings, a tuple and its place."""
+
+    COST = 480
 
     def __init__(self, make, half_bytes: int | None = None):
-        self.make, self.known, self.older = make, {}, {}
-        self.most, self.bytes = half_bytes or HALF_BYTES, 0
+        self.make, self.known, self.older, self.long = make, {}, {}, []
+        self.most = (half_bytes or HALF_BYTES) // self.COST
 
     def __call__(self, pieces: list[bytes]) -> dict[bytes, tuple]:
-        """The values of these pieces at least."""
-        new = set(pieces) - self.known.keys()
-        back = {x: self.older[x] for x in new & self.older.keys()}
-        new = list(new - back.keys())
-        back.update(zip(new, self.make(new)))
-        keep = {x: v for x, v in back.items() if len(x) <= KEPT_BYTES}
-        added = sum(2 * ENTRY_BYTES + len(x) + sum(len(y) for y in v if isinstance(y, bytes)) for x, v in keep.items())
-        if self.bytes + added > self.most:
-            self.older, self.known, self.bytes = self.known, {}, 0
-            out = Layered(back, self.older)
-        else:
-            out = Layered(back, self.known) if len(keep) < len(back) else self.known
-        self.known.update(keep)
-        self.bytes += added
-        return out
-
-
-class Layered(dict):
-    def __init__(self, top: dict, base: dict):
-        super().__init__(top)
-        self.base = base
-
-    def __missing__(self, key):
-        return self.base[key]
+        """The values of these pieces at least, until the next call; long ones are dropped then."""
+        for x in self.long:
+            del self.known[x]
+        self.long = []
+        wanted = set(pieces)
+        new = wanted - self.known.keys()
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.older, self.known = self.known, {x: self.known[x] for x in wanted - new}
+            back = new & self.older.keys()
+            self.known.update((x, self.older[x]) for x in back)
+            made = list(new - back)
+            self.known.update(zip(made, self.make(made)))
+            self.long = [x for x in made if len(x) > KEPT_BYTES]
+        return self.known
 
 
 def library(path: str):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +25,8 @@ from granulo.llm.pieces import PieceCache, split_marked
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Bytes in each half of a worker's piece cache.
+PIECE_BYTES = 128 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -148,10 +151,10 @@ class Codec:
 
     def __init__(self, path: str, threads: int = 2):
         self.model, self.whole, self.part, self.judge = _loaded(path)
-        self.threads, self.cache = threads, PieceCache(self._make)
+        self.cut, self.threads, self.cache = self.model.splits, threads, PieceCache(self._make, PIECE_BYTES)
 
     def _make(self, pieces: list[bytes]) -> list[tuple[bytes, bytes, bool]]:
-        cut = self.model.splits
+        cut = self.cut
         engine = self.part if cut else self.whole
         out = []
         threaded(self.threads)
@@ -161,12 +164,12 @@ class Codec:
             bare = [x[1:] for x in texts] if cut else texts
             theirs = self.judge.encode(bare, num_threads=1)
             for x, a, b, back in zip(bare, ours, theirs, engine.decode_batch(ours, skip_special_tokens=False)):
-                out.append((np.array(a, "<u4").tobytes(), back.encode(), a == b or not x))  # it gives an empty text no marker
+                out.append((array("I", a).tobytes(), back.encode(), a == b or not x))  # it gives an empty text no marker
         return out
 
     def __call__(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes], list[bool]]:
         """For each text its ids as little-endian unsigned 32-bit integers, what they decode to, and parity."""
-        cut = self.model.splits
+        cut = self.cut
         split = [] if cut else [[t.encode()] if t else [] for t in texts]
         if cut:
             mark = MARK.encode()
